@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe",)
+MODULES = ("bpe", "kdshard", "linkgraph")
 
 
 def _gather(name: str) -> dict:
