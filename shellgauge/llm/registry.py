@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "kdshard", "linkgraph")
+MODULES = ("bpe", "kdshard", "linkgraph", "decontaminate")
 
 
 def _gather(name: str) -> dict:
