@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "kdshard", "linkgraph", "decontaminate")
+MODULES = ("quality", "kdshard", "bpe", "decontaminate", "linkgraph")
 
 
 def _gather(name: str) -> dict:
