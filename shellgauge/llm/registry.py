@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "toxicity", "kdshard", "pii", "bpe", "decontaminate", "langid", "linkgraph")
+MODULES = ("quality", "warc", "toxicity", "kdshard", "pii", "bpe", "decontaminate", "langid", "linkgraph")
 
 
 def _gather(name: str) -> dict:
