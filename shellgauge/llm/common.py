@@ -61,6 +61,12 @@ def py_crc_mod(value, m: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % m
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with plain column names, and old -> new, so that added columns clash with none."""
+    names = {c: f"c{i}_" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def map_slices(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict]],

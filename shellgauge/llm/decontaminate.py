@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import map_slices, renamed, written
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -220,22 +220,26 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents without the passages that occur in test items, where a document is
-    contaminated; documents below the limit keep their text. Same columns as docs."""
-    hits = find_hits(docs, items, text)
+    contaminated; one of which no word is left goes. Documents below the limit, without words or with a null text
+    stay as they are. Same columns as docs."""
+    rows, names = renamed(docs)
+    hits = find_hits(rows, items, names[text])
 
     def make():
         def fn(part):
             col = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()
-            made = []
-            for t, n, spans in zip(col(text), col("n_words"), col("hit_spans"), strict=True):
+            made, gone = [], []
+            for t, n, spans in zip(col(names[text]), col("n_words"), col("hit_spans"), strict=True):
                 hit = sum(s["end"] - s["start"] for s in spans)
-                made.append(remove_spans(t, [(s["start"], s["end"]) for s in spans]) if hit and SHARE * hit >= n else t)
-            return {"cleaned_": pa.array(made, pa.string())}
+                bad = hit and SHARE * hit >= n
+                made.append(remove_spans(t, [(s["start"], s["end"]) for s in spans]) if bad else t)
+                gone.append(bool(bad and hit == n))
+            return {"cleaned_": pa.array(made, pa.string()), "gone_": pa.array(gone, pa.bool_())}
 
         return fn
 
-    out = map_slices(hits, make, "cleaned_ string", [c for c in docs.columns if c != text], text)
-    return out.withColumnRenamed("cleaned_", text).select(*docs.columns)
+    out = map_slices(hits, make, "cleaned_ string, gone_ boolean", [n for c, n in names.items() if c != text], names[text])
+    return out.where("not gone_").select(*[F.col("cleaned_" if c == text else n).alias(c) for c, n in names.items()])
 
 
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

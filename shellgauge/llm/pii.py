@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, renamed
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 40
@@ -388,18 +388,19 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(df: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
     """The same columns, with personal data replaced; null texts stay null."""
     shared = df.sparkSession.sparkContext.broadcast(finder)
-    others = [c for c in df.columns if c != text]
+    rows, names = renamed(df)
 
     def make():
         find = shared.value.find
 
         def fn(part):
-            texts = part.column(part.schema.get_field_index(text)).to_pylist()
+            texts = part.column(part.schema.get_field_index(names[text])).to_pylist()
             return {"redacted_": pa.array([None if t is None else redacted(t, find(t)[1]) for t in texts], pa.string())}
 
         return fn
 
-    return map_slices(df, make, "redacted_ string", others, text).withColumnRenamed("redacted_", text).select(*df.columns)
+    out = map_slices(rows, make, "redacted_ string", [n for c, n in names.items() if c != text], names[text])
+    return out.select(*[F.col("redacted_" if c == text else n).alias(c) for c, n in names.items()])
 
 
 def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
