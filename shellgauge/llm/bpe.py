@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_slices
 
 #: Encoded pieces that a Python worker remembers; on overflow it starts anew. Results don't depend on it.
-PIECE_CACHE = 400_000
+PIECE_CACHE = 250_000
 #: Longest piece that is remembered.
 PIECE_CACHE_BYTES = 48
 #: Prefixes of pieces, and pairs of tokens, that a Python worker remembers; likewise.
-PREFIX_CACHE, PAIR_CACHE = 700_000, 200_000
+PREFIX_CACHE, PAIR_CACHE = 350_000, 100_000
 
 
 class Ranks:

@@ -91,10 +91,24 @@ def map_slices(
                 cols = {c: part.column(part.schema.get_field_index(c)) for c in keep}
                 cols |= {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in made.items()}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+        release()
 
     return df.mapInArrow(run, out_schema)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def slices(batch: pa.RecordBatch, at: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     import pyarrow.compute as pc
 
