@@ -67,7 +67,12 @@ DENSE = (
 def grams_of(view: Column) -> Column:
     """All character n-grams of one view, repeats included. A view shorter than a size has none of it
     (a sequence from 1 to 0 would count down)."""
-    sizes = [F.when(F.length(view) >= n, F.transform(F.sequence(F.lit(1), F.length(view) - n + 1), lambda i, n=n: F.substring(view, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in SIZES]
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(view) - n + 1)
+        return F.when(F.length(view) >= n, F.transform(starts, lambda i: F.substring(view, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    sizes = [of_size(n) for n in SIZES]
     return F.concat(*sizes)
 
 
