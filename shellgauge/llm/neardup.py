@@ -12,8 +12,8 @@ unmatched, so the alignment is restricted to that band of diagonals; it runs bit
 
 No group is ever expanded into pairs. Texts with equal words are one node from the start. In each
 bucket all members are verified against one of them, which a hash chooses; the links' connected components are
-found. In buckets that still hold several components, pairs across components follow in two rounds: first those whose
-whole sketches agree in at least 58 of 96 picks, which links most of what is left, then those with 50. A pair at
+found. In buckets that still hold several components, pairs across components follow in rounds: first those whose
+whole sketches agree in at least 64 of 96 picks, which links most of what is left, then those with 57, then 50. A pair at
 similarity 0.8 agrees in 61 picks on average with a deviation of 4.7, so about one in 150 at the very limit
 is below 50 and lost if nothing else links the two; at 0.85 it is one in 100,000. Components are found by star contraction: joins and groupings by node, in
 rounds that are written to the shared folder.
@@ -39,7 +39,7 @@ from .common import map_slices, written
 K = 5
 ELL, ROWS, BANDS = 2, 3, 32
 #: Picks that two texts' sketches have to share in the rounds after the first.
-AGREE = (58, 50)
+AGREE = (64, 57, 50)
 #: Texts of a round's nodes that are broadcast to the pairs, in bytes; more are shuffled.
 BROADCAST_TEXT = 32 << 20
 #: Similarity as a fraction.
