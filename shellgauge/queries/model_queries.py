@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from ..functions import transforms as T
 from ..operators import evaluation as E
 from ..operators import scoring as S
 from ..operators import training as Tr
+from ..streaming.score_stream import SCHEMA, read_log, score_stream
 from . import corpus_queries as C
 from . import sqltext as Q
 
@@ -429,12 +433,8 @@ def e23_trace(spark, sf_dir):
 @query(Q.with_ctes([*MODEL, _SCORED], f"select event_id, round(score, 6) as score, {_VERDICT} as verdict from scored"))
 def r01_stream_scores(spark, sf_dir):
     """The same scores as e01, from a stream of the log's files."""
-    import tempfile
-
-    from ..streaming.score_stream import SCHEMA, read_log, score_stream
-
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir)) % 10**8}-{int(__import__('time').time() * 1000)}"
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     cols = [c.split()[0] for c in SCHEMA.split(", ")]
     C.log(spark, sf_dir).select(*cols).write.parquet(f"{folder}/in")
     coef, named = model(spark, sf_dir)
