@@ -73,6 +73,18 @@ def commands(spark: SparkSession) -> DataFrame:
     return rows.select(number.cast("long").alias("pos"), "command", "category", "risk", "source")
 
 
+_tables: dict[str, tuple[list, object]] = {}
+
+
+def command_table(spark: SparkSession) -> DataFrame:
+    """commands() as a local table: it depends on the fixed rules only, so an application generates it once."""
+    app = spark.sparkContext.applicationId
+    if app not in _tables:
+        dim = commands(spark)
+        _tables[app] = (dim.collect(), dim.schema)
+    return spark.createDataFrame(*_tables[app])
+
+
 def varied(command: Column, event_id: Column, user_id: Column) -> Column:
     """What users do to commands: an environment variable, a second segment, upper case, quotes."""
     k = event_id % 7
@@ -87,8 +99,8 @@ def varied(command: Column, event_id: Column, user_id: Column) -> Column:
 
 def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, user_id, event_type, command, category, risk, source: one command for each event."""
-    dim = commands(spark)
-    n = dim.agg(F.max("pos") + 1).first()[0]
+    dim = command_table(spark)
+    n = dim.count()
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
     joined = events.join(F.broadcast(dim), F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(n)) == F.col("pos"))
     return joined.select("event_id", "ts", "user_id", "event_type", varied(F.col("command"), F.col("event_id"), F.col("user_id")).alias("command"), "category", "risk", "source")
