@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_slices
+from .common import REMEMBERED, map_slices
 
 #: Encoded pieces that a Python worker remembers; on overflow it starts anew. Results don't depend on it.
 PIECE_CACHE = 250_000
@@ -234,6 +234,7 @@ class Tokenizer:
 
 
 _tokenizers: dict[tuple[str, str], Tokenizer] = {}
+REMEMBERED["bpe"] = _tokenizers.clear
 
 
 def tokenizer(path: str, pattern: str) -> Tokenizer:
@@ -260,7 +261,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", kee
 
         return fn
 
-    return map_slices(df.select(*dict.fromkeys([*keep, text])), make, "ids binary", keep, text)
+    return map_slices(df.select(*dict.fromkeys([*keep, text])), make, "ids binary", keep, text, remembers="bpe")
 
 
 def round_trip_digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -281,7 +282,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, text: str = "text
 
         return fn
 
-    return map_slices(df.select(*dict.fromkeys([*keep, text])), make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", keep, text)
+    return map_slices(df.select(*dict.fromkeys([*keep, text])), make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", keep, text, remembers="bpe")
 
 
 def public_vocabulary() -> tuple[str, str]:

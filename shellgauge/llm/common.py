@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
+#: What operators remember in a Python worker between tasks: name -> how to forget it. A task of another
+#: operator forgets it first, as Spark goes on with the same workers from stage to stage.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
@@ -74,6 +78,7 @@ def map_slices(
     keep: Iterable[str] = (),
     text: str = "text",
     slice_bytes: int = 4 << 20,
+    remembers: str = "",
 ) -> DataFrame:
     """mapInArrow in slices of about ``slice_bytes`` of text, so that memory follows the slice.
 
@@ -84,6 +89,7 @@ def map_slices(
     out_schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(remembers)
         fn = make()
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(text), slice_bytes):
@@ -96,6 +102,14 @@ def map_slices(
     return df.mapInArrow(run, out_schema)
 
 
+def begin(remembers: str) -> None:
+    """At the start of a task: forgets what other operators remember in this worker."""
+    for name, forget in list(REMEMBERED.items()):
+        if name != remembers:
+            forget()
+    release()
+
+
 def release() -> None:
     """Gives memory that a task has freed back to the system, as workers live on between tasks."""
     import ctypes
