@@ -13,9 +13,10 @@ unmatched, so the alignment is restricted to that band of diagonals; it runs bit
 No group is ever expanded into pairs. Texts with equal words are one node from the start. In each
 bucket all members are verified against one of them, which a hash chooses; the links' connected components are
 found. In buckets that still hold several components, pairs across components follow in rounds: first those whose
-whole sketches agree in at least 64 of 96 picks, which links most of what is left, then those with 57, then 50. A pair at
-similarity 0.8 agrees in 61 picks on average with a deviation of 4.7, so about one in 150 at the very limit
-is below 50 and lost if nothing else links the two; at 0.85 it is one in 100,000. Components are found by star contraction: joins and groupings by node, in
+whole sketches agree in at least 64 of 96 picks, which links most of what is left, then those with 57, then 50, then
+all others. In each round a pair is aligned only if the labelled shingles that the two texts share, in whatever order,
+are enough for the similarity; this bound is exact, so each pair that shares a bucket is verified, excluded by it or
+already in one component. Components are found by star contraction: joins and groupings by node, in
 rounds that are written to the shared folder.
 
 Null texts are in a class of their own, each; texts without words equal each other. Null keys are
@@ -38,7 +39,7 @@ from .common import map_slices, written
 
 K = 5
 ELL, ROWS, BANDS = 2, 3, 32
-#: Picks that two texts' sketches have to share in the rounds after the first.
+#: Picks that two texts' sketches have to share in the rounds after the first; a last round takes the pairs below.
 AGREE = (64, 57, 50)
 #: Texts of a round's nodes that are broadcast to the pairs, in bytes; more are shuffled.
 BROADCAST_TEXT = 32 << 20
@@ -257,12 +258,16 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     pairs = written(_of_like_size(pairs, sizes), "pairs")
     links = written(compared(pairs, node_texts(df, key, text, nodes, pairs)).where("ok").select("a", "b"), "links")
     roots = components(links)
-    for agree in AGREE:
-        mixed = _mixed(members, nodes, roots)
-        more = written(_across(mixed, pairs, agree), "pairs")
+    mixed = _mixed(members, nodes, roots)
+    texts = node_texts(df, key, text, nodes, mixed.selectExpr("node as a", "node as b"))
+    bags = written(_bags(texts), "bags")
+    for agree in (*AGREE, 0):
+        more = written(_across(mixed, bags, pairs, agree), "pairs")
         if not more.isEmpty():
-            links = written(links.unionByName(compared(more, node_texts(df, key, text, nodes, more)).where("ok").select("a", "b")), "links")
+            ends = more.select("a").union(more.select("b")).distinct().withColumnRenamed("a", "node")
+            links = written(links.unionByName(compared(more, written(texts.join(ends, "node", "left_semi"), "texts")).where("ok").select("a", "b")), "links")
             roots, pairs = components(links), pairs.unionByName(more)
+            mixed = _mixed(members, nodes, roots)
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "key_", "rows")
     of_root = named.groupBy("root").agg(F.min("key_").alias("class_id"), F.sum("rows").alias("n_in_class"))
     class_of = written(named.join(of_root, "root").select("node", "class_id", "n_in_class"), "classes")
@@ -280,15 +285,35 @@ def _mixed(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return written(stay.join(of_node, "node"), "mixed")
 
 
-def _across(mixed: DataFrame, tested: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) across components in a bucket, each made in the first bucket that both share, if sizes allow
-    the similarity and the sketches agree in at least ``least`` picks, less those already tested."""
+def _bags(texts: DataFrame) -> DataFrame:
+    """node, bag (hashes of its labelled shingles, all different)."""
+
+    def make():
+        sketcher = Sketcher()
+
+        def fn(part):
+            bags = [sketcher.labelled(words(t)).view(np.int64) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+            return {"bag": pa.array(bags, pa.list_(pa.int64()))}
+
+        return fn
+
+    return map_slices(texts, make, "bag array<bigint>", ["node"])
+
+
+def _across(mixed: DataFrame, bags: DataFrame, tested: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) across components in a bucket, each made in the first bucket that both share, if sizes and common
+    shingles allow the similarity and the sketches agree in at least ``least`` picks, less those already tested."""
     p, q = SIMILARITY
-    left = mixed.where("root <> low").selectExpr("bucket", "node as a", "root as root_a", "n as n_a", "picks as picks_a", "buckets as buckets_a")
-    right = mixed.selectExpr("bucket", "low", "node as b", "root as root_b", "n as n_b", "picks as picks_b", "buckets as buckets_b")
+    mixed = mixed.join(bags, "node")
+    left = mixed.where("root <> low").selectExpr("bucket", "node as a", "root as root_a", "n as n_a", "picks as picks_a", "buckets as buckets_a", "bag as bag_a")
+    right = mixed.selectExpr("bucket", "low", "node as b", "root as root_b", "n as n_b", "picks as picks_b", "buckets as buckets_b", "bag as bag_b")
     once = F.expr(f"root_a <> root_b and (root_b = low or a > b) and least(n_a, n_b) * {q} >= greatest(n_a, n_b) * {p} and array_min(array_intersect(buckets_a, buckets_b)) = bucket")
     agree = F.expr(f"aggregate(zip_with(picks_a, picks_b, (x, y) -> if(x = y, 1, 0)), 0, (t, x) -> t + x) >= {least}")
-    pairs = left.join(right, "bucket").where(once & agree).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # the alignment's matches are at most the labelled shingles in common: see needed()
+    shared = F.expr(f"size(array_intersect(bag_a, bag_b)) * {p + q} >= (n_a + n_b) * {p}")
+    # without the picks where they decide nothing
+    left, right = (left, right) if least else (left.drop("picks_a"), right.drop("picks_b"))
+    pairs = left.join(right, "bucket").where(once & agree & shared if least else once & shared).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 

@@ -120,6 +120,17 @@ def test_near_duplicate_classes(spark, docs):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_in_a_cloud_of_similar_texts(spark):
+    """Pairs at 4 of 5 shingles that agree in fewer than 50 picks and share only buckets of a cloud, whose leaders are like neither."""
+    base = " ".join(f"b{i}" for i in range(7))
+    rows = [(1000 + i, f"{base} z{i}") for i in range(200)]
+    pairs = (2784, 3614, 4255, 5085)
+    for k, i in enumerate(pairs):
+        rows += [(2 * k, f"{base} x{i}"), (2 * k + 1, f"{base} x{i} y{i}")]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and all(got[2 * k + 1] == 2 * k for k in range(len(pairs)))
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = Counter((x["doc_id"], x["class_id"], x["n_in_class"]) for x in neardup.classes(odd).collect())
     assert got[(3, 3, 2)] == 2 and got[(1, 1, 1)] == 1 and sum(got.values()) == 8
