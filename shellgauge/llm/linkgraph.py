@@ -3,7 +3,7 @@
 Host edges come from the absolute links in the pages (relative links stay on their host and count
 as no edge). Trust is a personalised PageRank from the hosts that an allow rule fits, along the
 links; distrust is one from the hosts that a rule blocks as a whole, against the links: who
-links to blocked hosts gets some. Both are scaled so that a seed without links gets 1. A host is
+links to blocked hosts gets some. A host needs no page of its own for that; a link to or from it is enough. Both are scaled so that a seed without links gets 1. A host is
 blocked if its distrust is at least MIN_DISTRUST and above its trust. A page's verdict is its
 rule's, else its host's.
 
@@ -106,14 +106,12 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "pa
     name, verdict = (rule_of(F.col("host"), F.col("path"), rules, take) for take in (lambda r: r.name, lambda r: r.verdict))
     named = parts.select("key_", "host", "path", name.alias("rule"), verdict.alias("told"))
     whole = rule_of(F.col("host"), F.lit("/"), tuple(r for r in rules if r.path in ("", "/")), lambda r: r.verdict)
-    seeds = written(
-        named.where("host <> ''").groupBy("host").agg(F.max(F.when(F.col("told") == "allow", 1).otherwise(0)).alias("good"))
-        .select("host", (F.col("good") == 1).alias("good"), F.coalesce(whole == "block", F.lit(False)).alias("bad")),
-        "url-seeds",
-    )
+    good = written(named.where("host <> '' and told = 'allow'").select("host").distinct(), "url-seeds")
     edges = written(host_edges(parts), "url-edges")
-    trust = page_rank(edges, seeds.where("good"))
-    distrust = page_rank(edges.selectExpr("dst as src", "src as dst", "n"), seeds.where("bad"))
+    seen = named.where("host <> ''").select("host").distinct().union(edges.select("src")).union(edges.select("dst"))
+    bad_seeds = seen.where(F.coalesce(whole == "block", F.lit(False))).distinct()
+    trust = page_rank(edges, good)
+    distrust = page_rank(edges.selectExpr("dst as src", "src as dst", "n"), bad_seeds)
     scores = distrust.select("host", F.col("rank").alias("distrust")).join(trust.select("host", F.col("rank").alias("trust")), "host", "left")
     d, t = F.round("distrust", 9), F.round(F.coalesce("trust", F.lit(0.0)), 9)
     bad = scores.where((d >= MIN_DISTRUST) & (d > t)).select("host", F.lit("block").alias("spread"))

@@ -359,6 +359,12 @@ def test_link_graph(spark):
     assert linkgraph.judge_urls(pages).count() == 10 and linkgraph.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_link_graph_blocked_host_without_a_page(spark):
+    rows = [(1, "http://near.com/p", '<a href="https://spam.net/x">l</a>'), (2, "http://far.com/", '<a href="//near.com/">l</a>'), (3, "http://fine.com/", '<a href="//x.org/">l</a>')]
+    got = {r["page_id"]: r["verdict"] for r in linkgraph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_page_rank_against_numpy(spark):
     r = random.Random(1)
     hosts = [f"h{i}" for i in range(8)]
