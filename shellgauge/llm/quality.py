@@ -9,8 +9,8 @@ histogram. A document fails if a distance is above its limit, or by the base rul
 many words in repeated 8-word windows).
 
 References are counted in tasks, word by word, and summed by (language, word); the driver gets those above the
-share only. Languages with fewer than 1/MAX_LANGS of the documents that have one give no references; if
-there are none, no document is judged by them.
+share only. Each language of at least COMMON words gives references (with fewer, every word would be common). Documents
+of the others are judged by the base rules only, as are all if there are no references.
 
 Null texts have no words and fail the base rule; null languages and keys, ties, repeated rows and
 empty tables are kept row by row. Only the key passes, so further columns can't clash.
@@ -30,7 +30,7 @@ from .common import map_slices, slices
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
-COMMON, MAX_LANGS = 1000, 200
+COMMON = 1000
 #: Guards: word characters and words that a text needs to be judged by a histogram.
 GUARD_CHARS, GUARD_WORDS = 200, 50
 #: Limits of the distances. A text without any common word is at about 0.43 from languages whose
@@ -123,20 +123,20 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
     counted = counted.persist()
     for r in counted.where("kind = 2 or kind = 0").groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect():
         totals[r["lang"], r["kind"]] = r["n"]
-    docs = sum(n for (_, kind), n in totals.items() if kind == 2)
-    langs = sorted(k for (k, kind), n in totals.items() if kind == 2 and n * MAX_LANGS >= docs)
+    langs = sorted(k for (k, kind), n in totals.items() if kind == 0 and n >= COMMON)
     out = {}
     if langs:
-        least = F.lit(None).cast("double")
-        for k in langs:
-            least = F.when(F.col("lang") == k, totals[k, 0] / COMMON).otherwise(least)
-        rows = counted.where(F.col("lang").isin(langs) & ((F.col("kind") == 1) | ((F.col("kind") == 0) & (F.col("n") >= least)))).collect()
+        least = counted.sparkSession.createDataFrame([(k, totals[k, 0] / COMMON) for k in langs], "lang string, least double")
+        rows = counted.join(F.broadcast(least), "lang").where("kind = 1 or kind = 0 and n >= least").select("lang", "kind", "word", "n").collect()
+        of_lang: dict[str, list] = defaultdict(list)
+        for r in rows:
+            of_lang[r["lang"]].append(r)
         for k in langs:
             hist = np.zeros(N_CLASSES)
-            for r in rows:
-                if r["lang"] == k and r["kind"] == 1 and int(r["word"]) < N_CLASSES:
+            for r in of_lang[k]:
+                if r["kind"] == 1 and int(r["word"]) < N_CLASSES:
                     hist[int(r["word"])] = r["n"]
-            common = {bytes(r["word"]): r["n"] / totals[k, 0] for r in rows if r["lang"] == k and r["kind"] == 0}
+            common = {bytes(r["word"]): r["n"] / totals[k, 0] for r in of_lang[k] if r["kind"] == 0}
             if hist.sum():
                 out[k] = (hist / hist.sum(), dict(sorted(common.items())))
     counted.unpersist()
@@ -155,6 +155,7 @@ class Judge:
     """Compares documents with references; made once a task."""
 
     def __init__(self, refs: dict[str, tuple[np.ndarray, dict[bytes, float]]]):
+        self.langs = frozenset(refs)
         self.class_refs = np.array([r[0] for r in refs.values()])
         known: dict[bytes, int] = {}
         for _, common in refs.values():
@@ -186,7 +187,7 @@ class Judge:
             w = float(np.sqrt(np.maximum(0.0, (terms.sum(axis=1) + missing) / 2)).min())
         return c, w
 
-    def judge(self, text: str | None) -> tuple:
+    def judge(self, text: str | None, lang: str | None = None) -> tuple:
         data = (text or "").encode()
         words = data.split()
         n = len(words)
@@ -203,7 +204,7 @@ class Judge:
             for u, i in zip(names, np.bincount(ids).tolist(), strict=True):
                 if u in self.words:
                     found[self.words[u]] += i
-        c, w = self.distances(class_counts(by_byte), word_chars, [*found], [*found.values()], n)
+        c, w = (None, None) if lang is not None and lang not in self.langs else self.distances(class_counts(by_byte), word_chars, [*found], [*found.values()], n)
         bad = (c is not None and c > MAX_CHAR_DISTANCE) or (w is not None and w > MAX_WORD_DISTANCE)
         return n, word_chars, int(by_byte[_SYMBOL].sum()), dup_lines, repeat, base_failed, not (base_failed or bad), c, w
 
@@ -221,12 +222,12 @@ def judge_quality(df: DataFrame, refs: dict | None = None, key: str = "doc_id",
         judge = Judge(refs).judge
 
         def fn(part):
-            rows = [judge(t) for t in part.column(part.schema.get_field_index("text_")).to_pylist()]
+            rows = [judge(t, k) for t, k in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text_", "lang_")), strict=True)]
             return {n: pa.array(list(x), k) for n, x, k in zip(names, zip(*rows, strict=True), kinds, strict=True)} if rows else {n: pa.array([], k) for n, k in zip(names, kinds, strict=True)}
 
         return fn
 
-    return map_slices(df.select(F.col(key), F.col(text).alias("text_")), make, COLUMNS, [key], "text_")
+    return map_slices(df.select(F.col(key), F.col(text).alias("text_"), F.col(lang).cast("string").alias("lang_")), make, COLUMNS, [key], "text_")
 
 
 def op1_js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,6 +288,16 @@ def test_quality_counts(spark, odd):
     assert quality.judge_quality(odd.limit(0)).count() == 0
 
 
+def test_quality_of_rare_languages(spark):
+    """A clean document of a script of its own, below one in 200: with references of its own, and with too few words for any."""
+    r = random.Random(8)
+    made = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, made("abcdeorstn", 60), "en") for i in range(1000)] + [(2000, made("абвгдежзик", 1200), "ru"), (2001, made("αβγδεζηθικ", 60), "el")]
+    found = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), refs=None).where("doc_id >= 2000").collect()
+    got = {x["doc_id"]: (x["kept"], x["char_distance"]) for x in found}
+    assert got[2000][0] and got[2000][1] < 0.01 and got[2001] == (True, None)
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     sf = "/root/testdata/sf0.01"
     out = quality.op1_js_divergence(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
