@@ -10,14 +10,15 @@ A pair is verified by alignment of the shingle sequences: with M matches in orde
 M / (n_a + n_b - M), and it has to reach SIMILARITY. At most (n_a + n_b) / 9 shingles may then stay
 unmatched, so the alignment is restricted to that band of diagonals; it runs bit-parallel.
 
-No group is ever expanded into pairs. Texts with equal words are one node from the start. In each
-bucket all members are verified against one of them, which a hash chooses; the links' connected components are
-found. In buckets that still hold several components, pairs across components follow in rounds: first those whose
-whole sketches agree in at least 64 of 96 picks, which links most of what is left, then those with 57, then 50, then
-all others. In each round a pair is aligned only if the labelled shingles that the two texts share, in whatever order,
-are enough for the similarity; this bound is exact, so each pair that shares a bucket is verified, excluded by it or
-already in one component. Components are found by star contraction: joins and groupings by node, in
-rounds that are written to the shared folder.
+No group is ever expanded into pairs. Texts with equal words are one node from the start. In each bucket all members
+are verified against its most central one: the node whose buckets hold the most nodes, so that the original of a
+group of edited copies leads all of its buckets and each copy is verified about once. The links' connected components
+are found; members that are in no earlier leader's component get a leader among themselves, as long as such
+rounds link a good part of what they test (MERGING). This is linear in the bucket entries. What is left are pairs of
+different components in one bucket, most of them unlike; all of these are looked at in the join itself, and a pair leaves it only if
+the labelled shingles that the two texts share, in whatever order, are enough for the similarity. This bound is exact,
+so each pair that shares a bucket is verified, excluded by it or already in one component. Components are
+found by star contraction over the components of the round before: joins and groupings by node, in rounds that are written to the shared folder.
 
 Null texts are in a class of their own, each; texts without words equal each other. Null keys are
 ignored in naming a class (its smallest key). Repeated rows get the same class. Only the key and
@@ -39,10 +40,14 @@ from .common import map_slices, written
 
 K = 5
 ELL, ROWS, BANDS = 2, 3, 32
-#: Picks that two texts' sketches have to share in the rounds after the first; a last round takes the pairs below.
-AGREE = (64, 57, 50)
+#: Rounds of leaders go on while one in so many tested pairs is a link; the exact join does the rest.
+MERGING = 8
 #: Texts of a round's nodes that are broadcast to the pairs, in bytes; more are shuffled.
 BROADCAST_TEXT = 32 << 20
+#: Pairs that a task looks at for links across components, about, and those of one bucket; a larger bucket's pairs are dealt as a grid.
+TASK_PAIRS, BUCKET_PAIRS = 50_000, 200_000
+#: Words of 64 bits in the bitmap of a text's labelled shingles.
+MARKS = 32
 #: Similarity as a fraction.
 SIMILARITY = (4, 5)
 #: Nodes whose texts are fetched by a broadcast of their keys (about 60 bytes each), else by a shuffle.
@@ -248,26 +253,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = written(signatures(df, key, text), "sketches")
     known = rows.where("node is not null")
     nodes = written(known.groupBy("node").agg(F.min("key_").alias("key_"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("picks").alias("picks")), "nodes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(F.col("picks"), i * ROWS + 1, ROWS)))
-    buckets = nodes.where("n > 0").select("node", F.explode(bands).alias("bucket"))
-    place = F.xxhash64("node", "bucket")  # each bucket has an order of its own
-    leaders = buckets.groupBy("bucket").agg(F.min(F.struct(place.alias("p"), F.col("node"))).alias("l"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("l.node").alias("leader"))
-    members = written(buckets.join(leaders, "bucket"), "members")
-    sizes = nodes.select("node", "n")
-    pairs = members.where("node <> leader").selectExpr("node as a", "leader as b").distinct()
-    pairs = written(_of_like_size(pairs, sizes), "pairs")
-    links = written(compared(pairs, node_texts(df, key, text, nodes, pairs)).where("ok").select("a", "b"), "links")
-    roots = components(links)
-    mixed = _mixed(members, nodes, roots)
-    texts = node_texts(df, key, text, nodes, mixed.selectExpr("node as a", "node as b"))
-    bags = written(_bags(texts), "bags")
-    for agree in (*AGREE, 0):
-        more = written(_across(mixed, bags, pairs, agree), "pairs")
-        if not more.isEmpty():
-            ends = more.select("a").union(more.select("b")).distinct().withColumnRenamed("a", "node")
-            links = written(links.unionByName(compared(more, written(texts.join(ends, "node", "left_semi"), "texts")).where("ok").select("a", "b")), "links")
-            roots, pairs = components(links), pairs.unionByName(more)
-            mixed = _mixed(members, nodes, roots)
+    roots = _linked(df, key, text, nodes)
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "key_", "rows")
     of_root = named.groupBy("root").agg(F.min("key_").alias("class_id"), F.sum("rows").alias("n_in_class"))
     class_of = written(named.join(of_root, "root").select("node", "class_id", "n_in_class"), "classes")
@@ -275,53 +261,111 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return out.select(F.col("key_").alias(key), F.when(F.col("node").isNull(), F.col("key_")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_in_class", F.lit(1)).cast("long").alias("n_in_class"))
 
 
-def _mixed(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, node, root, low, n, picks, buckets: the members of buckets that still hold several components.
-    low: the bucket's smallest root; buckets: all such buckets of the node, at most BANDS."""
-    placed = written(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed")
-    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "low")
-    stay = placed.join(several, "bucket")
-    of_node = stay.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(nodes.select("node", "n", "picks"), "node")
-    return written(stay.join(of_node, "node"), "mixed")
+def _linked(df: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
+    """node, root of all nodes that share a bucket with another."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(F.col("picks"), i * ROWS + 1, ROWS)))
+    buckets = nodes.where("n > 0").select("node", "n", F.explode(bands).alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(buckets.join(shared, "bucket"), "members")
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = written(members.join(central, "node").select("bucket", "node", "n", "weight"), "members")
+    roots = members.select("node", F.col("node").alias("root")).distinct()
+    led = None  # bucket, leader, round of the rounds so far
+    while True:
+        placed, n_round = members.join(roots, "node"), 0
+        if led is not None:
+            # what the leaders so far lead, in each bucket: at most one component a round
+            n_round = led.agg(F.max("round")).first()[0] + 1
+            of_leaders = led.join(roots, led["leader"] == roots["node"]).groupBy("bucket").agg(F.collect_set("root").alias("done"))
+            placed = placed.join(of_leaders, "bucket").where(~F.array_contains("done", F.col("root"))).drop("done")
+        placed = written(placed, "placed")
+        leaders = placed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n", "root")).alias("l"), F.count("*").alias("size")).where("size > 1")
+        leaders = leaders.select("bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("n_b"), F.col("l.root").alias("root_b"))
+        pairs = placed.join(leaders, "bucket").where(F.col("root") != F.col("root_b")).where(_like_sizes("n", "n_b"))
+        pairs = written(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+        tested = pairs.count()
+        links = 0
+        if tested:
+            leaders = leaders.select("bucket", "leader", F.lit(n_round).alias("round"))
+            led = written(leaders if led is None else led.unionByName(leaders), "leaders")
+            found = _verified(df, key, text, nodes, pairs)
+            links = found.count()
+        if links:
+            roots = _merged(roots, found)
+        if links * MERGING < tested or not tested:
+            break
+    if led is None:
+        return roots
+    pairs = _across(df, key, text, nodes, members, led.where("round = 0"), roots)
+    return roots if pairs is None or pairs.isEmpty() else _merged(roots, _verified(df, key, text, nodes, pairs))
+
+
+def _verified(df: DataFrame, key: str, text: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    return written(compared(pairs, node_texts(df, key, text, nodes, pairs)).where("ok").select("a", "b"), "links")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after more links: components of the components."""
+    ends = links.join(roots.selectExpr("node as a", "root as root_a"), "a").join(roots.selectExpr("node as b", "root as root_b"), "b").where("root_a <> root_b")
+    new = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    new = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return written(roots.join(new, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def _like_sizes(a: str, b: str):
+    """Whether two sizes allow the similarity: its largest value is that of a text within the other."""
+    p, q = SIMILARITY
+    return F.least(a, b) * q >= F.greatest(a, b) * p
+
+
+def _across(df: DataFrame, key: str, text: str, nodes: DataFrame, members: DataFrame, led: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of different components in a bucket, each made in the first bucket that both share, if sizes and
+    common labelled shingles allow the similarity. In a bucket, the members outside its first leader's component meet all others."""
+    p, q = SIMILARITY
+    main = led.join(roots, led["leader"] == roots["node"]).select("bucket", F.col("root").alias("main"))
+    placed = written(members.join(roots, "node").join(main, "bucket").select("bucket", "node", "n", "root", (F.col("root") != F.col("main")).alias("outside")), "placed")
+    work = placed.groupBy("bucket").agg((F.count_if("outside") * F.count("*")).alias("work")).where("work > 0").selectExpr("bucket", "work", f"ceil(sqrt(work / {BUCKET_PAIRS})) as grid")
+    mixed = written(placed.join(work, "bucket"), "mixed")
+    total = work.agg(F.sum("work")).first()[0]
+    if not total:
+        return None
+    tasks = -(-int(total) // TASK_PAIRS)
+    bags = _bags(node_texts(df, key, text, nodes, mixed.selectExpr("node as a", "node as b")))
+    of_node = mixed.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(bags, "node")
+    mixed = mixed.join(written(of_node, "bags"), "node")
+    own = lambda side: [f"{c} as {c}_{side}" for c in ("n", "root", "buckets", "bag", "marks")]
+    left = mixed.where("outside").selectExpr("bucket", "pmod(xxhash64(node), grid) as row", "explode(sequence(0L, grid - 1L)) as col", "node as a", *own("a"))
+    right = mixed.selectExpr("bucket", "pmod(xxhash64(node), grid) as col", "explode(sequence(0L, grid - 1L)) as row", "node as b", "outside as outside_b", *own("b"))
+    once = F.expr("root_a <> root_b and (not outside_b or a > b)") & _like_sizes("n_a", "n_b")
+    # the alignment's matches are at most the labelled shingles in common, see needed(); each bit that one text's bitmap
+    # has and the other's lacks stands for at least one that is not in common
+    not_in = "aggregate(zip_with(marks_a, marks_b, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
+    enough = F.expr(f"(n_a - {not_in}) * {p + q} >= (n_a + n_b) * {p} and array_min(array_intersect(buckets_a, buckets_b)) = bucket and size(array_intersect(bag_a, bag_b)) * {p + q} >= (n_a + n_b) * {p}")
+    left, right = (side.repartition(tasks, "bucket", "row", "col") for side in (left, right))  # by work, as bytes say little about it
+    return written(left.join(right, ["bucket", "row", "col"]).where(once & enough).select("a", "b").distinct(), "pairs")
+
+
+def marks(bag: np.ndarray) -> np.ndarray:
+    """A bitmap of hashes, MARKS words of 64 bits."""
+    bits = np.zeros(64 * MARKS, bool)
+    bits[(bag >> np.uint64(20)) % np.uint64(64 * MARKS)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def _bags(texts: DataFrame) -> DataFrame:
-    """node, bag (hashes of its labelled shingles, all different)."""
+    """node, bag (hashes of its labelled shingles, all different) and marks."""
 
     def make():
         sketcher = Sketcher()
 
         def fn(part):
-            bags = [sketcher.labelled(words(t)).view(np.int64) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-            return {"bag": pa.array(bags, pa.list_(pa.int64()))}
+            bags = [sketcher.labelled(words(t)) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+            return {"bag": pa.array([x.view(np.int64) for x in bags], pa.list_(pa.int64())), "marks": pa.array([marks(x) for x in bags], pa.list_(pa.int64()))}
 
         return fn
 
-    return map_slices(texts, make, "bag array<bigint>", ["node"])
-
-
-def _across(mixed: DataFrame, bags: DataFrame, tested: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) across components in a bucket, each made in the first bucket that both share, if sizes and common
-    shingles allow the similarity and the sketches agree in at least ``least`` picks, less those already tested."""
-    p, q = SIMILARITY
-    mixed = mixed.join(bags, "node")
-    left = mixed.where("root <> low").selectExpr("bucket", "node as a", "root as root_a", "n as n_a", "picks as picks_a", "buckets as buckets_a", "bag as bag_a")
-    right = mixed.selectExpr("bucket", "low", "node as b", "root as root_b", "n as n_b", "picks as picks_b", "buckets as buckets_b", "bag as bag_b")
-    once = F.expr(f"root_a <> root_b and (root_b = low or a > b) and least(n_a, n_b) * {q} >= greatest(n_a, n_b) * {p} and array_min(array_intersect(buckets_a, buckets_b)) = bucket")
-    agree = F.expr(f"aggregate(zip_with(picks_a, picks_b, (x, y) -> if(x = y, 1, 0)), 0, (t, x) -> t + x) >= {least}")
-    # the alignment's matches are at most the labelled shingles in common: see needed()
-    shared = F.expr(f"size(array_intersect(bag_a, bag_b)) * {p + q} >= (n_a + n_b) * {p}")
-    # without the picks where they decide nothing
-    left, right = (left, right) if least else (left.drop("picks_a"), right.drop("picks_b"))
-    pairs = left.join(right, "bucket").where(once & agree & shared if least else once & shared).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-
-
-def _of_like_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs whose sizes allow the similarity: its largest value is that of a text within the other."""
-    p, q = SIMILARITY
-    sized = pairs.join(sizes.selectExpr("node as a", "n as n_a"), "a").join(sizes.selectExpr("node as b", "n as n_b"), "b")
-    return sized.where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p).select("a", "b")
+    return map_slices(texts, make, "bag array<bigint>, marks array<bigint>", ["node"])
 
 
 def node_texts(df: DataFrame, key: str, text: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
