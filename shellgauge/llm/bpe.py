@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import REMEMBERED, map_slices
 
-#: Encoded pieces that a Python worker remembers; on overflow it starts anew. Results don't depend on it.
-PIECE_CACHE = 250_000
+#: Memory, in bytes, for what a Python worker remembers: encoded pieces, prefixes of pieces, and pairs of tokens.
+#: One that is full becomes the older half, and what is met again in that moves back. Results don't depend on it.
+PIECE_MEMORY, PREFIX_MEMORY, PAIR_MEMORY = 44 << 20, 32 << 20, 6 << 20
 #: Longest piece that is remembered.
 PIECE_CACHE_BYTES = 48
-#: Prefixes of pieces, and pairs of tokens, that a Python worker remembers; likewise.
-PREFIX_CACHE, PAIR_CACHE = 350_000, 100_000
+#: About what one entry takes in a dictionary: slot, key and value objects (a piece's own bytes come on top), and a pair of tokens.
+ENTRY, PAIR_ENTRY = 210, 120
 
 
 class Ranks:
@@ -42,7 +44,7 @@ class Ranks:
         for t in ranks:
             if len(t) > self.ending.get(t[-4:], 3):
                 self.ending[t[-4:]] = len(t)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self.token = {r: t for t, r in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -72,25 +74,28 @@ class Ranks:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
     def pair_holds(self, left: int, right: int) -> bool:
-        holds = self._pairs.get((left, right))
+        pair = left << 32 | right
+        holds = self._pairs.get(pair)
         if holds is None:
-            if len(self._pairs) >= PAIR_CACHE:
+            if len(self._pairs) * PAIR_ENTRY >= PAIR_MEMORY:
                 self._pairs.clear()
-            holds = self._pairs[left, right] = self._pair_holds(left, right)
+            holds = self._pairs[pair] = self._pair_holds(left, right)
         return holds
 
     def last_token(self, data: bytes, i: int, last: list[int]) -> int:
         """The last token of data[:i], given those of all shorter prefixes; -1: there is none."""
-        ranks = self.ranks
-        for start in range(max(0, i - self.ending.get(data[max(0, i - 4) : i], 3)), i):
-            t = ranks.get(data[start:i])
+        get, pairs = self.ranks.get, self._pairs
+        for start in range(max(0, i - self.ending.get(data[i - 4 if i > 4 else 0 : i], 3)), i):
+            t = get(data[start:i])
             if t is None:
                 continue
             if start == 0:
                 if i == 1 or t in self.halves:  # else a token that no merges reach
                     return t
-            elif last[start] >= 0 and self.pair_holds(last[start], t):
-                return t
+            elif (before := last[start]) >= 0:
+                holds = pairs.get(before << 32 | t)
+                if holds or (holds is None and self.pair_holds(before, t)):
+                    return t
         return -1
 
     def _pair_holds(self, left: int, right: int) -> bool:
@@ -179,7 +184,10 @@ class Tokenizer:
         self.vocab = vocab
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the cache, about
         self.prefixes: dict[bytes, int] = {}
+        self.older_prefixes: dict[bytes, int] = {}
         top = max(vocab.token, default=-1) + 1
         self.widths = np.zeros(top, np.int64)
         for r, t in vocab.token.items():
@@ -188,29 +196,35 @@ class Tokenizer:
         self.flat = np.frombuffer(b"".join(vocab.token.get(r, b"") for r in range(top)), np.uint8)
 
     def piece(self, piece: str) -> bytes:
+        """The ids of a piece that isn't in the cache."""
+        packed = self.older.get(piece)
         data = piece.encode()
-        whole = self.vocab.ranks.get(data)
-        if whole is not None:
-            ids = [whole]
-        else:
-            ids = self.known_prefixes(data) if len(data) <= PIECE_CACHE_BYTES else PrefixEncoding(self.vocab, data).ids()
-        packed = np.array(ids, "<u4").tobytes()
+        if packed is None:
+            whole = self.vocab.ranks.get(data)
+            if whole is not None:
+                ids = [whole]
+            else:
+                ids = self.known_prefixes(data) if len(data) <= PIECE_CACHE_BYTES else PrefixEncoding(self.vocab, data).ids()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(data) <= PIECE_CACHE_BYTES:
-            if len(self.cache) >= PIECE_CACHE:
-                self.cache.clear()
+            if self.held >= PIECE_MEMORY // 2:
+                self.older, self.cache, self.held = self.cache, {}, 0
             self.cache[piece] = packed
+            self.held += ENTRY + len(data) + len(packed)
         return packed
 
     def known_prefixes(self, data: bytes) -> list[int]:
         """The same recurrence; prefixes that earlier pieces had are looked up."""
-        prefixes, find, token = self.prefixes, self.vocab.last_token, self.vocab.token
-        if len(prefixes) >= PREFIX_CACHE:
-            prefixes.clear()
+        if len(self.prefixes) * ENTRY >= PREFIX_MEMORY // 2:
+            self.older_prefixes, self.prefixes = self.prefixes, {}
+        prefixes, older, find, token = self.prefixes, self.older_prefixes, self.vocab.last_token, self.vocab.token
         last = [-1]
         for i in range(1, len(data) + 1):
-            t = prefixes.get(data[:i])
+            prefix = data[:i]
+            t = prefixes.get(prefix)
             if t is None:
-                t = prefixes[data[:i]] = find(data, i, last)
+                t = older.get(prefix)
+                prefixes[prefix] = t = find(data, i, last) if t is None else t
             last.append(t)
         out, i = [], len(data)
         while i:
@@ -222,8 +236,8 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        get, piece = self.cache.get, self.piece
-        return b"".join([get(p) or piece(p) for p in self.split(text)])
+        piece = self.piece
+        return b"".join([self.cache.get(p) or piece(p) for p in self.split(text)])
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4").astype(np.int64)
