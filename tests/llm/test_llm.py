@@ -188,28 +188,65 @@ def test_language_id(spark, docs, odd):
     assert langid.identify(odd.select("doc_id", "text"), langid.learn(docs.limit(0), F.lit(True))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_language_models_are_distributions():
-    grams = {"aa": (["   a", "  ab", " aba", "abab"], np.array([3, 2, 2, 1])), "bb": (["   b", "  ba"], np.array([1, 4]))}
-    m = langid.Models(grams)
-    chars = sorted({c for gs, _ in grams.values() for g in gs for c in g})  # one more than the ends of n-grams
-    for lang in range(2):
-        for context in ("  a", "zzz"):  # seen and unseen
-            total = 0.0
-            for c in chars:
-                p = np.array([ord(x) for x in context + c], np.uint64)
-                logp, n = 0.0, langid.ORDER
-                while n:
-                    row = m.tables[n].find(langid.gram_hashes(p, n, np.array([3])))[0]
-                    if row >= 0:
-                        logp += m.tables[n].values[row, lang]
-                        break
-                    if n == 1:
-                        logp += m.weights[1].values[0, lang] + m.floor[lang]
-                    elif (k := m.weights[n].find(langid.gram_hashes(p, n - 1, np.array([2])))[0]) >= 0:
-                        logp += m.weights[n].values[k, lang]
-                    n -= 1
-                total += 2.0**logp
-            assert total == pytest.approx(1.0, abs=1e-4)
+def brute_kneser_ney(texts, alphabet):
+    """p(character | three before it) by the textbook recursion over plain counters."""
+    padded = [" " * 3 + t for t in texts]
+    counts = {4: Counter(t[i - 3 : i + 1] for t in padded for i in range(3, len(t)))}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    disc = {}
+    for n, c in counts.items():
+        n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+        disc[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
+
+    def p(n, gram):
+        if n == 0:
+            return 1 / (alphabet + 1)
+        own = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(n - 1, gram[1:])
+        total = sum(own.values())
+        seen = max(own.get(gram, 0) - disc[n], 0) / total
+        return seen + (1 - sum(max(c - disc[n], 0) for c in own.values()) / total) * p(n - 1, gram[1:])
+
+    return p, disc
+
+
+def test_language_models_against_brute_force(spark, docs):
+    texts = {k: [re.sub("[^a-z]+", " ", r["text"].lower()).strip() for r in docs.where(f"lang = '{k}'").limit(6).collect()] for k in ("en", "fr")}
+    texts["de"] = ["das ist ein haus", "ein haus ist das"]
+    rows = spark.createDataFrame([(t, k) for k, ts in texts.items() for t in ts], "text string, lang string")
+    counted = langid.count_grams(rows).cache()
+    whole = langid.Models(langid.kept_levels(counted, 3))
+    alphabet = len({c for ts in texts.values() for t in ts for c in t})
+    probe = ["the house and the", "qzx vw", "maison"]
+    bits, _ = whole.bits(probe)
+    for i, k in enumerate(whole.langs):
+        p, disc = brute_kneser_ney(texts[k], alphabet)
+        assert k == "de" or all(0 < disc[n] < 0.75 for n in (3, 4))  # from real counts of one and two
+        for j, t in enumerate(probe):
+            own = [p(4, ("   " + t)[c : c + 4]) for c in range(len(t))]
+            assert bits[j, i] == pytest.approx(-np.log2(own).mean(), abs=2e-3)
+    assert np.allclose(langid.Models({k: langid.all_levels(*zip(*[(r["gram"], r["n"]) for r in counted.where(f"lang = '{k}'").collect()], strict=True)) for k in texts}).bits(probe)[0], bits, atol=1e-4)
+    # pruned models stay distributions
+    few = langid.Models(langid.kept_levels(counted, 3, cells=600))
+    assert max(len(t.keys) for t in few.tables.values()) <= 200 < len(whole.tables[4].keys)
+    every = sorted({c for ts in texts.values() for t in ts for c in t})
+    for context in ("the", "zzz"):
+        logp = few._log_probability(np.array([[ord(x) for x in context + c] for c in every], np.uint32))
+        rest = few._log_probability(np.array([[ord(x) for x in context + "@"]], np.uint32))  # a character that no language has
+        assert np.exp2(logp).sum(axis=0) + np.exp2(rest)[0] == pytest.approx(np.ones(3), abs=1e-4)
+
+
+def test_language_rejection_with_a_rare_language(spark, docs):
+    """Foreign and random texts are rejected though a language with few texts is known; its own texts are kept."""
+    r = random.Random(9)
+    made = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(60))
+    rare = spark.createDataFrame([(10_000 + i, made("абвгд"), "xx") for i in range(8)], "doc_id long, text string, lang string")
+    ident = langid.learn(docs.select("doc_id", "text", "lang").unionByName(rare), F.lit(True))
+    junk = [made("漢字語文本的是了"), made("\u0905\u0906\u0907\u0908\u0909"), made("".join(map(chr, range(0x1200, 0x1280))))]
+    langs, _, _, rejected = ident.judge([*junk, made("абвгд"), docs.first()["text"]])
+    assert rejected.tolist() == [True, True, True, False, False] and langs[3] == "xx"
 
 
 def test_toxicity_gradient():
