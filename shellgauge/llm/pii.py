@@ -1,19 +1,20 @@
 """Personal data by proposed spans and gradient-boosted trees.
 
 Base spans are those of four fixed patterns with their checks. Besides them, generators propose many
-overlapping spans of each kind: digit runs with any separators and all their runs of groups, mails
-with a written-out "at" or "dot". Each proposal gets features of its format (digits, groups,
-separators, Luhn, largest part, ...) and of its context (neighbouring characters, cue words), and
-boosted trees with logistic loss give its probability, calibrated by Platt scaling on held-out proposals;
-each kind has a threshold of at least PRECISION on them. Of the proposals above the threshold, the likeliest
-that don't overlap each other or a base span are added.
+overlapping spans of each kind: digit runs with up to four separators of any sort between digits and all their runs of
+groups, mails with a written-out "at" or "dot", addresses with guarded dots. Each proposal gets features of its format
+(digits, groups, separators, Luhn, largest part, ...) and of its context (neighbouring characters, cue words), and
+boosted trees with logistic loss give its probability, calibrated by Platt scaling. Of the proposals above
+their kind's threshold, the likeliest that don't overlap each other or a base span are added.
 
 The trees learn from a sample of about SAMPLE_DOCS documents by hash, at most SAMPLE_SPANS proposals
 of each: base spans are positive, proposals apart from them negative. Rewritten copies teach the formats that the base
-patterns can't see: numbers without their plus sign or with other separators, mails with "(at)", which count
-as positive with a cue word and as negative without, and numbers whose check fails, which are negative.
-All documents are searched whole, in time linear in the text. With too few positives for a kind,
-nothing is added for it.
+patterns can't see: numbers without their plus sign or with other separators, mails with "(at)", addresses with "[.]", which count
+as positive by their format or with a cue word and as negative without, and numbers whose check fails, which are negative.
+Calibration and thresholds come from probabilities of documents that the trees in question have not seen: the sample
+is parted in FOLDS, and trees of the others judge each. A kind's threshold is the least with a precision of
+PRECISION on its own proposals, the more of them the more it counts against that of all kinds together.
+All documents are searched whole, in time linear in the text. Without a base span in the sample, nothing is added.
 
 Null texts count as empty. Rows are kept one by one; only the kept columns pass.
 """
@@ -33,7 +34,9 @@ from .common import map_slices, renamed
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 40
-PRECISION, MIN_POSITIVES = 0.98, 30
+PRECISION, FOLDS = 0.98, 4
+#: Positive proposals at which a kind's own threshold and that of all kinds count alike.
+OWN_WEIGHT = 30
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,9 +54,10 @@ CUES = {
     "card": ("card", "visa", "credit", "pay"),
     "phone": ("tel", "phone", "call", "fax", "mobile"),
 }
-_RUN = re.compile(r"\+?\(?[0-9](?:[\x20().\-]{0,2}[0-9])++")
+_RUN = re.compile(r"\+?\(?[0-9](?:[\x20\t\u00a0()./_\-]{0,4}[0-9])++")
 _GROUP = re.compile(r"[0-9]+")
-_AT = re.compile(r"\x20?[(\[]at[)\]]\x20?|\x20at\x20(?=[A-Za-z0-9-]+\x20(?:dot|\(dot\)|\[dot\])\x20)", re.I)
+_GUARDED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}){3}(?![0-9])", re.I)
+_AT = re.compile(r"\x20?[(\[]at[)\]]\x20?|\x20at\x20(?=[A-Za-z0-9-]+\x20?(?:dot\x20|\(dot\)|\[dot\]))", re.I)
 _AT_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?)[A-Za-z0-9-]+)+", re.I)
 
 
@@ -117,10 +121,13 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
                         out.append((a, 2, end))
                     if 9 <= total <= 15:
                         out.append((lead, 3, end))
-    if "at)" in text or "at]" in text or " dot " in text or "AT)" in text or "AT]" in text:
+    low = text.lower()
+    if "[.]" in low or "(.)" in low or "dot" in low:
+        out += [(m.start(), 1, m.end()) for m in _GUARDED.finditer(text)]
+    if "at)" in low or "at]" in low or "dot" in low:
         for m in _AT.finditer(text):
             start = m.start()
-            while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+            while start > 0 and text[start - 1] in _LOCAL:
                 start -= 1
             d = _AT_DOMAIN.match(text, m.end())
             if d and start < m.start():
@@ -143,7 +150,7 @@ def features(kind: int, span: str, left: str, right: str) -> list[float]:
     return [
         kind, len(digits), len(span), len(groups), len(seps), span[:1] == "+", "@" in span, luhn(digits) if digits else 0,
         max((min(999, int(g[:4])) for g in groups), default=-1), any(c in low for c in CUES[KINDS[kind]]), _side(left[-1:]), _side(right[:1]),
-        len(set(digits)), digits[:1] == "0", kind == 0 and ("(at)" in span.lower() or "[at]" in span.lower()), len(groups[-1]) if groups else 0,
+        len(set(digits)), digits[:1] == "0", any(g in span.lower() for g in ("(at)", "[at]", "dot", "[.]", "(.)")), len(groups[-1]) if groups else 0,
     ]
 
 
@@ -159,12 +166,12 @@ def rewritten(kind: int, span: str, left: str, right: str) -> list[tuple[str, st
         return [(f"{name}(at){domain}", left, 1), (f"{name} [at] {domain.replace('.', ' [dot] ')}", left, 1), (f"{name} at {domain.replace('.', ' dot ')}", cue, 1)]
     digits = only_digits(span)
     if kind == 1:
-        return [("300." + span.split(".", 1)[1], left, 0), (span.replace(".", " "), left, 0)]
+        return [("300." + span.split(".", 1)[1], left, 0), (span.replace(".", " "), left, 0), (span.replace(".", "[.]"), left, 1), (span.replace(".", " (dot) "), left, 1), ("300[.]" + span.replace(".", "[.]").split("[.]", 1)[1], left, 0)]
     if kind == 2:
         wrong = digits[:-1] + str((int(digits[-1]) + 1 + len(left) % 8) % 10)
         return [(" ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), left, 1), (".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), cue, 1), (".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), left, 0)] + ([(wrong, left, 0), (wrong, cue, 0)] if not luhn(wrong) else [])
     bare = span.lstrip("+")
-    return [(bare, cue, 1), (bare, left, 0), (digits, cue, 1), (digits, left, 0), (digits[:-2], left, 0)]
+    return [(bare, cue, 1), (" - ".join(_GROUP.findall(bare)), cue, 1), ("/".join(_GROUP.findall(bare)), left, 0), (bare, left, 0), (digits, cue, 1), (digits, left, 0), (digits[:-2], left, 0)]
 
 
 @dataclass
@@ -226,7 +233,7 @@ class Finder:
 
     trees: Trees | None = None
     platt: tuple[float, float] = (1.0, 0.0)
-    thresholds: tuple[float, ...] = (np.inf,) * len(KINDS)
+    thresholds: tuple[float, ...] = (1.0,) * len(KINDS)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         a, b = self.platt
@@ -239,8 +246,7 @@ class Finder:
         if self.trees is None:
             return base, base
         taken = list(base)
-        more = [p for p in proposals(text) if np.isfinite(self.thresholds[p[1]])]
-        more = _apart(more, base)
+        more = _apart(proposals(text), base)
         if more:
             x = np.array([features(k, *_context(text, a, b)) for a, k, b in more], float)
             p = self.probability(x)
@@ -309,29 +315,38 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text") -> Finder:
         return Finder()
     got = got.sort_values(["place", "kind", "label", "weight"], kind="stable").reset_index(drop=True)
     x = np.array(got["x"].tolist(), float)
-    y, w, kind, check = got["label"].to_numpy(), got["weight"].to_numpy(), got["kind"].to_numpy(), (got["place"].to_numpy() // 1_000_000) % 5 == 0
-    if min(y[~check].sum(), (1 - y[~check]).sum(), y[check].sum(), (1 - y[check]).sum()) < MIN_POSITIVES:
+    y, w, kind = got["label"].to_numpy(float), got["weight"].to_numpy(), got["kind"].to_numpy()
+    # by document, so that no copy of a span is on both sides
+    fold = np.unique(got["place"], return_inverse=True)[1] % FOLDS
+    if y.min() == y.max() or not all(0 < y[fold != f].sum() < (fold != f).sum() for f in range(FOLDS)):
         return Finder()
-    trees = Trees().fit(x[~check], y[~check].astype(float), w[~check])
-    a, b = platt(trees.logits(x[check]), y[check], w[check])
-    finder = Finder(trees, (a, b))
-    p = finder.probability(x[check])
+    z = np.empty(len(y))
+    for f in range(FOLDS):
+        z[fold == f] = Trees().fit(x[fold != f], y[fold != f], w[fold != f]).logits(x[fold == f])
+    finder = Finder(Trees().fit(x, y, w), platt(z, y, w))
+    a, b = finder.platt
+    p = 1 / (1 + np.exp(-(a * z + b)))
+    whole = threshold(p, y, w)
     limits = []
     for k in range(len(KINDS)):
-        own = kind[check] == k
-        limits.append(np.inf)
-        if y[check][own].sum() >= MIN_POSITIVES:
-            order = np.argsort(-p[own], kind="stable")
-            good, weight, q = y[check][own][order], w[check][own][order], p[own][order]
-            precision = np.cumsum(good * weight) / np.cumsum(weight)
-            last = np.append(q[1:] < q[:-1], True)  # a threshold can't part equal probabilities
-            ok = np.flatnonzero((precision >= PRECISION) & last & (q >= 0.5))
-            if len(ok):
-                limits[-1] = float(q[ok[-1]])
+        mine = kind == k
+        n = float(y[mine].sum())
+        own = threshold(p[mine], y[mine], w[mine]) if n else whole
+        limits.append((n * own + OWN_WEIGHT * whole) / (n + OWN_WEIGHT))
     finder.thresholds = tuple(limits)
     return finder
 
 
+def threshold(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The least probability, of 0.5 or more, from which on PRECISION of the proposals are positive; just above all if there is none."""
+    order = np.argsort(-p, kind="stable")
+    good, weight, q = y[order], w[order], p[order]
+    precision = np.cumsum(good * weight) / np.cumsum(weight)
+    last = np.append(q[1:] < q[:-1], True)  # a threshold can't part equal probabilities
+    ok = np.flatnonzero((precision >= PRECISION) & last & (q >= 0.5))
+    return float(q[ok[-1]]) if len(ok) else float(np.nextafter(max(0.5, q[0]), 1))
+
+
 def platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Slope and offset that make the labels likeliest, by Newton steps."""
     a, b = 1.0, 0.0
@@ -350,25 +365,26 @@ def span_names(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-COLUMNS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+COLUMNS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
 
 
 def find_pii(df: DataFrame, finder: Finder, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """The kept columns, the counts of base spans, their digest, and all spans."""
+    """The kept columns, the counts of base spans, their digest, all spans and their number."""
     shared = df.sparkSession.sparkContext.broadcast(finder)
 
     def make():
         find = shared.value.find
 
         def fn(part):
-            numbers, digests, spans = [], [], []
+            numbers, digests, spans, n_spans = [], [], [], []
             for t in part.column(part.schema.get_field_index(text)).to_pylist():
                 base, every = find(t)
                 numbers.append([sum(k == i for _, k, _ in base) for i in range(len(KINDS))])
                 digests.append(hashlib.sha256(span_names(base).encode()).hexdigest())
                 spans.append(span_names(every))
+                n_spans.append(len(every))
             counts = {f"n_{k}": pa.array([x[i] for x in numbers], pa.int64()) for i, k in enumerate(KINDS)}
-            return counts | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string())}
+            return counts | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string()), "n_spans": pa.array(n_spans, pa.int64())}
 
         return fn
 

@@ -301,6 +301,47 @@ def test_pii(spark, docs, odd):
     assert pii.learn(docs.limit(0)).trees is None
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_pii_planted(spark, sf):
+    """Personal data in formats that the base patterns can't see is found in held texts, and look-alikes are left alone."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    finder = pii.learn(docs)
+    r, digits = random.Random(12), lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("abdeilmnorst") for _ in range(r.randrange(4, 9)))
+
+    def card():
+        d = digits(15)
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    def planted():
+        c, p = card(), digits(11)
+        ip = [str(r.randrange(1, 255)) for _ in range(4)]
+        return [
+            ("email", "", f"{word()}.{word()}(at){word()}.com"), ("email", "", f"{word()} [at] {word()} [dot] org"), ("email", "please write: ", f"{word()} AT {word()} dot com"),
+            ("card", "card: ", ".".join(c[i : i + 4] for i in range(0, 16, 4))), ("phone", "tel: ", f"{p[:1]} {p[1:4]} {p[4:7]} {p[7:]}"), ("phone", "call: ", f"({p[:4]}) - {p[4:7]} - {p[7:]}"),
+            ("ip", "", "[.]".join(ip)), ("ip", "", " (dot) ".join(ip)),
+        ]
+
+    def alike():
+        return [f"order {digits(16)[:15]}x", f"{word()} at {word()} {word()}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"pages {digits(3)} to {digits(3)}", "300[.]" + "[.]".join([digits(2)] * 3), f"sum {digits(2)}.{digits(3)}.{digits(3)}"]
+
+    want = found = right = wrong = 0
+    held = [x["text"] for x in docs.where("text is not null").orderBy("doc_id").limit(60).collect()]
+    for t in held:
+        ws = t.split(" ")[:200]
+        for kind, cue, span in planted():
+            text = " ".join(ws[:60]) + f" {cue}{span} " + " ".join(ws[60:])
+            a = len(" ".join(ws[:60]) + f" {cue}")
+            base, every = finder.find(text)
+            hit = [s for s in every if s not in base and s[0] < a + len(span) and a < s[2]]
+            want, found = want + 1, found + any(s[0] <= a + 1 and s[2] >= a + len(span) and pii.KINDS[s[1]] == kind for s in hit)
+            right += len(hit)
+        for look in alike():
+            base, every = finder.find(" ".join(ws[:60]) + f" {look} " + " ".join(ws[60:]))
+            wrong += len(set(every) - set(base))
+    assert found >= 0.9 * want and right >= 0.98 * (right + wrong), (found, want, right, wrong)
+
+
 def test_quality_counts(spark, odd):
     def brute(t):
         ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
