@@ -7,12 +7,13 @@ consecutive item words, or all words of a shorter item; where the length reaches
 words are hit. Words that no item has break every match, so only runs of item words that are long
 enough for a window go through the automaton; all others can't be hit.
 
-Items are bounded: a block of at most BLOCK_WORDS item words makes one automaton, which is broadcast.
+Items are bounded: a block of at most about BLOCK_WORDS item words makes one automaton, which is broadcast.
 More items make more blocks; each block is one pass over the documents, and the passes' hits are
 united row by row. Window ids are counted exactly: a window's items are those of the automaton
-state that the window ends in.
+state that the window ends in. No state deeper than the window is followed, and from a state only the linked states
+that have windows are visited, so that the time is linear in the words, however repetitive.
 
-Null texts have no words and no hits; empty tables, repeated rows, ties and null keys are kept row by row.
+An item without id counts for hits but not among the items. Null texts have no words and no hits; empty tables, repeated rows, ties and null keys are kept row by row.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 #: Words of test items in one automaton (about 300 bytes each).
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 
 _FOLD = bytes(
     (c + 32 if 0x41 <= c <= 0x5A else c) if 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
@@ -68,6 +69,11 @@ class Automaton:
                     length = self.len[state]
                 if length >= n:
                     self.windows.setdefault(state, {}).setdefault(n, set()).add(item)
+        self.window = window
+        #: the nearest state with windows on the way of links from each state, itself first; -1: there is none
+        self.near = [-1] * len(self.len)
+        for state in sorted(range(1, len(self.len)), key=self.len.__getitem__):
+            self.near[state] = state if state in self.windows else self.near[self.link[state]]
 
     def _extend(self, last: int, c: int) -> int:
         if c in self.next[last]:
@@ -112,20 +118,25 @@ class Automaton:
         edges = np.concatenate([[-1], np.flatnonzero(known < 0), [len(seq)]])
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
+        link, depth, near, window = self.link, self.len, self.near, self.window
         for k in np.flatnonzero(np.diff(edges) - 1 >= self.shortest):
             a, b = int(edges[k]) + 1, int(edges[k + 1])
             state, length = 0, 0
             for i, c in enumerate(known[a:b].tolist(), a + 1):
                 state, length = self.step(state, length, c)
-                at = state
-                while at > 0 and self.len[at] >= self.shortest and length >= self.shortest:
-                    for n, whose in self.windows.get(at, {}).items():
-                        if length >= n > self.len[self.link[at]]:
+                while state and depth[link[state]] >= window:  # passages longer than a window say no more
+                    state = link[state]
+                    length = depth[state]
+                at, longest = near[state], 0
+                while at > 0:
+                    for n, whose in self.windows[at].items():
+                        if length >= n > depth[link[at]]:
                             items |= whose
-                            spans.append((i - n, i))
-                    at = self.link[at]
-            spans = united(spans)
-        return spans, items
+                            longest = max(longest, n)
+                    at = near[link[at]]
+                if longest:
+                    spans.append((i - longest, i))
+        return united(spans), items
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -181,7 +192,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: s
                     s2, i2 = automaton.scan(ws)
                     n.append(len(ws))
                     spans.append([{"start": a, "end": b} for a, b in united([*((x["start"], x["end"]) for x in s), *s2])])
-                    whose.append(sorted({*i, *map(str, i2)}))
+                    whose.append(sorted({*i, *(str(x) for x in i2 if x is not None)}))
                 return {"n_words": pa.array(n, pa.int64()), "hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(whose, pa.list_(pa.string()))}
 
             return fn
@@ -256,7 +267,7 @@ ns as (select distinct n from bw),
 dw as (select r, n, i, array_to_string(w[i:i + n - 1], ' ') as win from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, ns)),
 h as (select r, i, dw.n, item_id from dw join bw on dw.n = bw.n and dw.win = bw.win),
 hw as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from h) group by r),
-hi as (select r, count(*) as n_items, string_agg(s, ',' order by s) as items from (select distinct r, item_id::varchar as s from h) group by r)
+hi as (select r, count(*) as n_items, string_agg(s, ',' order by s) as items from (select distinct r, item_id::varchar as s from h where item_id is not null) group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and {SHARE} * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hw using (r) left join hi using (r)
