@@ -45,7 +45,7 @@ MERGING = 8
 #: Texts of a round's nodes that are broadcast to the pairs, in bytes; more are shuffled.
 BROADCAST_TEXT = 32 << 20
 #: Pairs that a task looks at for links across components, about, and those of one bucket; a larger bucket's pairs are dealt as a grid.
-TASK_PAIRS, BUCKET_PAIRS = 50_000, 200_000
+TASK_PAIRS, BUCKET_PAIRS = 50_000, 100_000
 #: Words of 64 bits in the bitmap of a text's labelled shingles.
 MARKS = 32
 #: Similarity as a fraction.
@@ -99,10 +99,10 @@ class Sketcher:
         occurrence[order] = (np.arange(n) - begin).astype(np.uint64)
         return mix(s + occurrence * _M2)
 
-    def picks(self, ws: list[bytes]) -> np.ndarray:
-        """One number for each hash function: its smallest shingles in text order; none for a text without words."""
+    def bands(self, ws: list[bytes]) -> np.ndarray:
+        """The band keys: each from ROWS hash functions' smallest shingles in text order; none for a text without words."""
         if not ws:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.int64)
         s = self.labelled(ws)
         n, r = len(s), ROWS * BANDS
         order = (s >> np.uint64(32)).astype(np.uint32)  # what the hash functions order by; of equal values the first wins
@@ -120,7 +120,10 @@ class Sketcher:
             for k in range(least.shape[1]):
                 pick = mix(pick * _M1 + s[least[:, k]])
             picks[i : i + step] = pick
-        return (picks >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        key = np.arange(BANDS, dtype=np.uint64)
+        for k in range(ROWS):
+            key = mix(key * _M1 + picks[k::ROWS])
+        return key.view(np.int64)
 
 
 def shingles(ws: list[bytes]) -> list[tuple]:
@@ -179,23 +182,23 @@ def similar(a: list, b: list) -> bool:
 
 
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, node (digest of the words; null for a null text), n (shingles) and picks of each row."""
+    """key, node (digest of the words; null for a null text), n (shingles) and band keys of each row."""
 
     def make():
         sketcher = Sketcher()
 
         def fn(part):
-            nodes, sizes, picks = [], [], []
+            nodes, sizes, bands = [], [], []
             for t in part.column(part.schema.get_field_index("text_")).to_pylist():
                 ws = words(t or "")
                 nodes.append(None if t is None else hashlib.md5(b" ".join(ws)).digest())
                 sizes.append(max(1, len(ws) - K + 1) if ws else 0)
-                picks.append([] if t is None else sketcher.picks(ws))
-            return {"node": pa.array(nodes, pa.binary()), "n": pa.array(sizes, pa.int64()), "picks": pa.array(picks, pa.list_(pa.int32()))}
+                bands.append([] if t is None else sketcher.bands(ws))
+            return {"node": pa.array(nodes, pa.binary()), "n": pa.array(sizes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
 
         return fn
 
-    return map_slices(df.select(F.col(key).alias("key_"), F.col(text).alias("text_")), make, "node binary, n bigint, picks array<int>", ["key_"], "text_")
+    return map_slices(df.select(F.col(key).alias("key_"), F.col(text).alias("text_")), make, "node binary, n bigint, bands array<bigint>", ["key_"], "text_")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,7 +255,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """Key and class_id (the smallest key of the row's class) of each row, and n_in_class."""
     rows = written(signatures(df, key, text), "sketches")
     known = rows.where("node is not null")
-    nodes = written(known.groupBy("node").agg(F.min("key_").alias("key_"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("picks").alias("picks")), "nodes")
+    nodes = written(known.groupBy("node").agg(F.min("key_").alias("key_"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     roots = _linked(df, key, text, nodes)
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "key_", "rows")
     of_root = named.groupBy("root").agg(F.min("key_").alias("class_id"), F.sum("rows").alias("n_in_class"))
@@ -263,12 +266,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def _linked(df: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
     """node, root of all nodes that share a bucket with another."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(F.col("picks"), i * ROWS + 1, ROWS)))
-    buckets = nodes.where("n > 0").select("node", "n", F.explode(bands).alias("bucket"))
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(buckets.join(shared, "bucket"), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = written(members.join(central, "node").select("bucket", "node", "n", "weight"), "members")
+    members = written(members.join(central, "node").join(nodes.select("node", "n"), "node").select("bucket", "node", "n", "weight"), "members")
     roots = members.select("node", F.col("node").alias("root")).distinct()
     led = None  # bucket, leader, round of the rounds so far
     while True:
