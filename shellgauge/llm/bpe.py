@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import REMEMBERED, map_slices
+from .common import AT_END, REMEMBERED, map_slices
 
 #: Memory, in bytes, for what a Python worker remembers: encoded pieces, prefixes of pieces, and pairs of tokens.
 #: One that is full becomes the older half, and what is met again in that moves back. Results don't depend on it.
@@ -195,6 +195,12 @@ class Tokenizer:
         self.starts = np.concatenate([[0], np.cumsum(self.widths)])
         self.flat = np.frombuffer(b"".join(vocab.token.get(r, b"") for r in range(top)), np.uint8)
 
+    def forget(self) -> None:
+        """Drops the pieces, prefixes and pairs; the vocabulary stays."""
+        for held in (self.cache, self.older, self.prefixes, self.older_prefixes, self.vocab._pairs):
+            held.clear()
+        self.held = 0
+
     def piece(self, piece: str) -> bytes:
         """The ids of a piece that isn't in the cache."""
         packed = self.older.get(piece)
@@ -249,6 +255,7 @@ class Tokenizer:
 
 _tokenizers: dict[tuple[str, str], Tokenizer] = {}
 REMEMBERED["bpe"] = _tokenizers.clear
+AT_END["bpe"] = lambda: [t.forget() for t in _tokenizers.values()]
 
 
 def tokenizer(path: str, pattern: str) -> Tokenizer:

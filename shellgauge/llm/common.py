@@ -18,6 +18,8 @@ _own_dir: list[str] = []
 #: What operators remember in a Python worker between tasks: name -> how to forget it. A task of another
 #: operator forgets it first, as Spark goes on with the same workers from stage to stage.
 REMEMBERED: dict[str, Callable[[], None]] = {}
+#: What of that is forgotten at the end of each task, as a worker without a task may live on for long.
+AT_END: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,7 +79,7 @@ def map_slices(
     schema: str,
     keep: Iterable[str] = (),
     text: str = "text",
-    slice_bytes: int = 4 << 20,
+    slice_bytes: int = 2 << 20,
     remembers: str = "",
 ) -> DataFrame:
     """mapInArrow in slices of about ``slice_bytes`` of text, so that memory follows the slice.
@@ -97,6 +99,8 @@ def map_slices(
                 cols = {c: part.column(part.schema.get_field_index(c)) for c in keep}
                 cols |= {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in made.items()}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+        for forget in AT_END.values():
+            forget()
         release()
 
     return df.mapInArrow(run, out_schema)
