@@ -1,11 +1,14 @@
 """URL verdicts by rules and by trust that spreads over the graph of hosts.
 
-Host edges come from the absolute links in the pages (relative links stay on their host and count
-as no edge). Trust is a personalised PageRank from the hosts that an allow rule fits, along the
-links; distrust is one from the hosts that a rule blocks as a whole, against the links: who
-links to blocked hosts gets some. A host needs no page of its own for that; a link to or from it is enough. Both are scaled so that a seed without links gets 1. A host is
-blocked if its distrust is at least MIN_DISTRUST and above its trust. A page's verdict is its
-rule's, else its host's.
+Host edges come from the absolute links in the pages: anchors, areas, frames, canonical and other link elements, base
+addresses (relative links stay on their host and count as no edge); and each host has an edge to its parent domain, as
+sub.example.com is part of example.com. Trust is a personalised PageRank along the links, from the hosts that an
+allow rule fits: each host passes DAMPING of its trust on, parted by its links. Distrust runs against the links, from the
+hosts that a rule blocks as a whole: a host gets DAMPING times the mean distrust of what it links to. So
+many others that link to the same blocked host do not thin it out. Seeds have 1 each. A host needs no page of
+its own for that; a link to or from it is enough. A host is blocked if its distrust is at least MIN_DISTRUST and above its
+trust. A page's verdict is its rule's, else its host's. Both spread in rounds until no host gets TOLERANCE more in a
+round; what further rounds would add to a host's distrust is below DAMPING / (1 - DAMPING) of that.
 
 Everything is DataFrame operations: edges are summed before they are shuffled, each round of
 PageRank joins the ranks with the edges by host and is written to the shared folder. Hosts that
@@ -27,11 +30,10 @@ from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ROUNDS = 10
-MIN_DISTRUST = 0.05
-#: Rules become one CASE expression.
-MAX_RULES = 500
-LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
+TOLERANCE = 1e-4
+MIN_DISTRUST = 0.2
+#: A tag ends at the next "<" or ">" at the latest, so that the search is linear.
+LINK = r"(?i)<(?:a|area|base|link|frame|iframe)\s[^<>]*?(?:href|src)\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
 
 
 @dataclass(frozen=True)
@@ -58,9 +60,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...], take) -> Column:
-    """take(rule) of the longest rule that fits; null if none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    """take(rule) of the longest rule that fits; null if none does. One CASE expression, for lists of rules made by hand."""
     out = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -69,34 +69,32 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...], take) -> Column
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, n of the links between different hosts; pages: host, html."""
+    """src, dst, n of the links between different hosts and from hosts to their parent domains; pages: host, html."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst"))
     links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
-    return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    links = links.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    hosts = pages.select("host").distinct().union(links.select("dst")).union(links.select("src")).distinct()
+    parents = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("dst")).where("dst <> ''")
+    return links.unionByName(parents.withColumn("n", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, rank. seeds: host, one row each. A seed without links gets rank 1; the ranks of hosts
-    without outgoing links go back to the seeds. Stops early when no rank changes."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("out_n"))
-    shares = written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out_n")).alias("share")), "rank-edges")
-    ends = shares.select("src").distinct()
+def spread(shares: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, rank: what reaches each host from the seeds (host, one row each, which have 1 each and get nothing).
+
+    shares: src, dst, share: of what src has got in a round, dst gets damping * share in the next one.
+    """
     seeds = written(seeds.select("host").distinct(), "rank-seeds")
-    n_seeds = seeds.count()
-    rank = seeds.select("host", F.lit(1.0).alias("rank"))
-    if not n_seeds:
-        return rank
-    for _ in range(rounds):
-        lost = rank.join(ends, rank.host == ends.src, "left_anti").agg(F.sum("rank")).first()[0] or 0.0
-        base = (1 - damping) + damping * lost / n_seeds
-        moved = rank.join(shares, rank.host == shares.src).groupBy("dst").agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        nxt = seeds.select("host", F.lit(base).alias("rank")).unionByName(moved.select(F.col("dst").alias("host"), "rank"))
-        nxt = written(nxt.groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-        change = nxt.alias("a").join(rank.alias("b"), "host", "full_outer").agg(F.max(F.abs(F.coalesce("a.rank", F.lit(0.0)) - F.coalesce("b.rank", F.lit(0.0))))).first()[0]
-        rank = nxt
-        if not change or change < 1e-12:
-            break
-    return rank
+    ways = written(shares.join(seeds, shares["dst"] == seeds["host"], "left_anti").select("src", "dst", "share"), "rank-shares")
+    term = rank = seeds.select("host", F.lit(1.0).alias("rank"))
+    while True:
+        moved = term.join(ways, term["host"] == ways["src"]).groupBy("dst").agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
+        term = written(moved.select(F.col("dst").alias("host"), "rank"), "rank-term")
+        most = term.agg(F.max("rank")).first()[0]
+        if most is None:
+            return rank
+        rank = written(rank.unionByName(term).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
+        if most < tolerance:
+            return rank
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -110,8 +108,10 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "pa
     edges = written(host_edges(parts), "url-edges")
     seen = named.where("host <> ''").select("host").distinct().union(edges.select("src")).union(edges.select("dst"))
     bad_seeds = seen.where(F.coalesce(whole == "block", F.lit(False))).distinct()
-    trust = page_rank(edges, good)
-    distrust = page_rank(edges.selectExpr("dst as src", "src as dst", "n"), bad_seeds)
+    out = edges.groupBy("src").agg(F.sum("n").alias("out_n"))
+    shares = written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out_n")).alias("share")), "url-shares")
+    trust = spread(shares, good)
+    distrust = spread(shares.selectExpr("dst as src", "src as dst", "share"), bad_seeds)
     scores = distrust.select("host", F.col("rank").alias("distrust")).join(trust.select("host", F.col("rank").alias("trust")), "host", "left")
     d, t = F.round("distrust", 9), F.round(F.coalesce("trust", F.lit(0.0)), 9)
     bad = scores.where((d >= MIN_DISTRUST) & (d > t)).select("host", F.lit("block").alias("spread"))
@@ -123,34 +123,37 @@ def op10_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in DuckDB, the rounds of PageRank written out."""
+    """The same in DuckDB: the rounds are a recursive query, as many as reach the tolerance in any graph."""
+    import math
+
     fits = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
     by_length = sorted(RULES, key=lambda r: (-len(r.name), r.name))
     case = lambda take: "case " + " ".join(f"when {fits.format(h=r.host, p=r.path)} then '{take(r)}'" for r in by_length) + " end"
     whole = " or ".join(f"host = '{r.host}' or ends_with(host, '.{r.host}')" for r in RULES if r.path == "/" and r.verdict == "block")
     link = LINK.replace("'", "''")
+    rounds = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
     parts = [
-        f"cut as (select page_id, html, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) end as rest from pages)",
+        "cut as (select page_id, html, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) end as rest from pages)",
         "raw as (select page_id, html, rest, regexp_extract(rest, '^[^/?#]*', 0) as h from cut)",
         f"named0 as (select page_id, html, coalesce(translate(h, '{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(substr(rest, length(h) + 1), '^[^?#]*', 0), '') as path from raw)",
         f"named as (select page_id, host, path, html, {case(lambda r: r.name)} as rule, {case(lambda r: r.verdict)} as told from named0)",
-        f"seeds as (select host, bool_or(coalesce(told = 'allow', false)) as good, bool_or({whole}) as bad from named where host <> '' group by host)",
-        f"links as (select host as src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{UPPER}', '{LOWER}') as dst from named)",
-        "edges as (select src, dst, count(*) as n from links where src <> dst and src <> '' and dst <> '' group by src, dst)",
+        f"links0 as (select host as src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{UPPER}', '{LOWER}') as dst from named)",
+        "links as (select src, dst, count(*) as n from links0 where src <> dst and src <> '' and dst <> '' group by src, dst)",
+        "hosts as (select host from named where host <> '' union select src from links union select dst from links)",
+        r"parents as (select host as src, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) as dst from hosts)",
+        "edges as (select src, dst, sum(n) as n from (select * from links union all select src, dst, 1 from parents where dst <> '') group by src, dst)",
+        "shares as (select src, dst, n / sum(n) over (partition by src) as share from edges)",
+        "good as (select distinct host from named where host <> '' and told = 'allow')",
+        f"bad as (select host from hosts where {whole})",
     ]
-    for k, flag, a, b in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
+    for name, seeds, src, dst in (("trust", "good", "src", "dst"), ("distrust", "bad", "dst", "src")):
         parts += [
-            f"s{k} as (select host from seeds where {flag})",
-            f"e{k} as (select {a} as src, {b} as dst, n / sum(n) over (partition by {a}) as share from edges)",
-            f"{k}0 as (select host, 1.0::double as rank from s{k})",
+            f"{name}_ways as (select {src} as a, {dst} as b, share from shares where {dst} not in (select host from {seeds}))",
+            f"{name}_terms as (select 0 as i, host, 1.0::double as rank from {seeds} union all select i + 1, b, sum({DAMPING} * rank * share) from {name}_terms join {name}_ways on host = a where i < {rounds} group by i + 1, b)",
+            f"{name} as (select host, sum(rank) as rank from {name}_terms group by host)",
         ]
-        for i in range(ROUNDS):
-            parts += [
-                f"l{k}{i} as (select coalesce(sum(rank), 0) as lost from {k}{i} where host not in (select src from e{k}))",
-                f"{k}{i + 1} as (select host, sum(rank) as rank from (select host, {1 - DAMPING!r} + {DAMPING} * (select lost from l{k}{i}) / (select count(*) from s{k}) as rank from s{k} union all select dst, {DAMPING} * sum(rank * share) from {k}{i} join e{k} on host = src group by dst) group by host)",
-            ]
-    parts.append(f"bad as (select host from d{ROUNDS} left join (select host, rank as trust from t{ROUNDS}) using (host) where round(rank, 9) >= {MIN_DISTRUST} and round(rank, 9) > round(coalesce(trust, 0), 9))")
-    return "with " + ",\n".join(parts) + "\nselect page_id, host, path, rule, coalesce(told, case when host in (select host from bad) then 'block' end, 'allow') as verdict from named"
+    parts.append(f"blocked as (select d.host from distrust d left join trust t on d.host = t.host where round(d.rank, 9) >= {MIN_DISTRUST} and round(d.rank, 9) > round(coalesce(t.rank, 0), 9))")
+    return "with recursive " + ",\n".join(parts) + "\nselect page_id, host, path, rule, coalesce(told, case when host in (select host from blocked) then 'block' end, 'allow') as verdict from named"
 
 
 QUERIES = {"op10_link_graph": op10_link_graph}

@@ -471,22 +471,29 @@ def test_link_graph_blocked_host_without_a_page(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
-def test_page_rank_against_numpy(spark):
+def test_spread_against_numpy(spark):
     r = random.Random(1)
     hosts = [f"h{i}" for i in range(8)]
     links = Counter((r.choice(hosts), r.choice(hosts)) for _ in range(20))
-    links = {(a, b): n for (a, b), n in links.items() if a != b}
-    edges = spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "src string, dst string, n long")
-    seeds = spark.createDataFrame([("h0",), ("h3",)], "host string")
-    rank = np.array([1.0 if h in ("h0", "h3") else 0.0 for h in hosts])
-    seed = rank.copy()
-    m = np.array([[links.get((a, b), 0) for b in hosts] for a in hosts], float)
+    m = np.array([[links.get((a, b), 0) if a != b else 0 for b in hosts] for a in hosts], float)
     out = m.sum(axis=1, keepdims=True)
     m = np.divide(m, out, where=out > 0, out=np.zeros_like(m))
-    for _ in range(linkgraph.ROUNDS):
-        rank = seed * (0.15 + 0.85 * rank[out[:, 0] == 0].sum() / 2) + 0.85 * rank @ m
-    got = {x["host"]: x["rank"] for x in linkgraph.page_rank(edges, seeds).collect()}
-    assert [got.get(h, 0.0) for h in hosts] == pytest.approx(rank.tolist())
+    seed = np.array([h in ("h0", "h3") for h in hosts], float)
+    for way in (m, m.T):
+        shares = spark.createDataFrame([(hosts[i], hosts[j], float(way[i, j])) for i, j in zip(*np.nonzero(way), strict=True)], "src string, dst string, share double")
+        want = np.linalg.solve((np.eye(8) - linkgraph.DAMPING * way * (1 - seed)).T, seed)
+        got = {x["host"]: x["rank"] for x in linkgraph.spread(shares, spark.createDataFrame([("h0",), ("h3",)], "host string")).collect()}
+        assert [got.get(h, 0.0) for h in hosts] == pytest.approx(want.tolist(), abs=1e-3)
+
+
+def test_link_graph_fan_in_chains_parents_and_odd_html(spark):
+    """Many linkers of one blocked host, a chain of linkers, a subdomain, frames, and tags that never end."""
+    rows = [(i, f"http://fan{i}.com/", '<IFRAME src="//spam.net/">') for i in range(40)]
+    rows += [(100 + i, f"http://chain{i}.com/", f'<link rel=canonical href=https://{"spam.net" if i == 0 else f"chain{i - 1}.com"}/>') for i in range(12)]
+    rows += [(200, "http://sub.chain0.com/", None), (201, "http://clean.com/", "<a " * 100_000 + "<a href=//ok.org/>" + "<a href" * 50_000)]
+    got = {r["page_id"]: r["verdict"] for r in linkgraph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(40)} == {"block"} and got[200] == "block" and got[201] == "allow"
+    assert [got[100 + i] for i in range(12)] == ["block" if 0.85 ** (i + 1) >= linkgraph.MIN_DISTRUST else "allow" for i in range(12)]
 
 
 # The pipeline.
