@@ -1,10 +1,12 @@
 """Shards of nearly equal bytes by a k-d tree over metadata, with DataFrame operations only.
 
-Every document is a point: log of its size, bytes a character, and language (by hash). A node that
-has to give k shards is cut along its widest dimension at the weighted quantile k//2 / k of its
-bytes, until every leaf is one shard. Equal texts are equal points, and points are ordered by
-coordinate, then text hash, then row hash; a cut falls between two texts unless that would leave a
-side off by more than TOLERANCE of a shard, in which case it goes through the copies of one text.
+Every document is a point: log of its size, bytes a character, and language and source (by hash, so that a cut parts
+the categories into two sets). A node that has to give k shards is cut along its widest dimension at the weighted
+quantile k//2 / k of its bytes, until every leaf is one shard. Widths are weighted standard deviations, each as a share
+of the whole table's, so that dimensions of unlike scale compare. Equal texts are next to each other: points
+are ordered by coordinate, then text hash, then row hash; a cut falls between two texts unless that would leave a
+side off by more than TOLERANCE of a shard, in which case it goes through the copies of one text. The row hash takes in a number
+that each row of the table gets, so equal rows and null keys can be parted, too.
 
 The quantiles of all nodes of a level are found together by histograms that are refined
 step by step, each one partial aggregation over all rows. The driver gets at most
@@ -32,10 +34,10 @@ ROWS_PER_BUCKET = 50_000
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 8
 
-DIMS = ("c_size", "c_density", "c_lang")
+DIMS = ("c_size", "c_density", "c_lang", "c_source")
 
 
-def points(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+def points(df: DataFrame, key: str, text: str, categories: dict[str, str | None]) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     size = F.octet_length(body).cast("long") + ROW_BYTES
     top = 2**BITS - 1
@@ -45,9 +47,9 @@ def points(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.least(F.floor(F.log2(size) / 40 * top), F.lit(top)).cast("long").alias("c_size"),
         F.least(F.floor((F.octet_length(body) / F.greatest(F.char_length(body), F.lit(1)) - 1).cast("double") / 3 * top), F.lit(top)).cast("long").alias("c_density"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(lang).cast("string"), F.lit(""))), 64 - BITS).alias("c_lang"),
+        *[F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")), 64 - BITS).alias(name) for name, c in categories.items()],
         F.shiftrightunsigned(F.xxhash64(body, F.lit(1)), 4).alias("u"),
-        F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(2)), 4).alias("v"),
+        F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.monotonically_increasing_id()), 4).alias("v"),
     )
 
 
@@ -88,38 +90,41 @@ def split_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict[int, int]]
     """
     leaves, level = {1: shards}, [1] if shards > 1 else []
     at = rows.withColumn("node", F.lit(1))
-    leaf_bytes = 0.0
+    leaf_bytes, whole = 0.0, {}
     while level:
-        stats = {r["node"]: r for r in at.where(F.col("node").isin(level)).groupBy("node").agg(F.sum("size").alias("w"), *[f(c).alias(f"{n}_{c}") for c in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
+        mean = lambda x: F.sum(F.col("size") * x) / F.sum("size")
+        spread = [F.greatest(mean(F.col(c).cast("double") * F.col(c)) - mean(F.col(c).cast("double")) ** 2, F.lit(0.0)).alias(c) for c in DIMS]
+        stats = {r["node"]: r for r in at.where(F.col("node").isin(level)).groupBy("node").agg(F.sum("size").alias("w"), *spread).collect()}
         leaf_bytes = leaf_bytes or (stats[1]["w"] / shards if 1 in stats else 0)
+        whole = whole or {c: max(1.0, stats[1][c]) if 1 in stats else 1.0 for c in DIMS}
         dim: dict[int, Column] = {}
         goal: dict[int, float] = {}
         for n in level:
             s = stats.get(n)
-            widest = max(DIMS, key=lambda c: s[f"hi_{c}"] - s[f"lo_{c}"]) if s else DIMS[0]
+            widest = max(DIMS, key=lambda c: s[c] / whole[c]) if s else DIMS[0]
             dim[n], goal[n] = F.col(widest), (s["w"] if s else 0) * (leaves[n] // 2) / leaves[n]
         # coordinate, then text hash, then row hash; each in two steps
         found: dict[int, list[tuple[Column, int]]] = {n: [] for n in level}
         where: dict[int, Column] = {n: F.lit(True) for n in level}
         before = dict.fromkeys(level, 0.0)
         open_ = {n for n in level if n in stats}
-        for column, bits, steps in ((None, BITS, (FINE, FINE)), ("u", 60, (12, 12)), ("v", 60, (12, 12))):
-            used = 0
-            top = dict.fromkeys(level, 0)
-            weight = dict.fromkeys(level, 0.0)
+        for column, bits, steps in ((None, BITS, (FINE, FINE)), ("u", 60, (12,) * 5), ("v", 60, (12,) * 5)):
+            used, top, weight = dict.fromkeys(level, 0), dict.fromkeys(level, 0), dict.fromkeys(level, 0.0)
             for step in steps:
-                used += step
-                shift = bits - used
                 what = {}
                 for n in open_:
-                    c = F.shiftright(dim[n] if column is None else F.col(column), shift)
-                    what[n] = (where[n] & ((F.shiftright(c, step) == top[n]) if used > step else F.lit(True)), c)
+                    if used[n] and weight[n] <= TOLERANCE * leaf_bytes:
+                        continue  # fine enough
+                    c = dim[n] if column is None else F.col(column)
+                    inside = F.shiftright(c, bits - used[n]) == top[n] if used[n] else F.lit(True)
+                    used[n] += step
+                    what[n] = (where[n] & inside, F.shiftright(c, bits - used[n]))
                 if not what:
                     break
                 for n, h in _hist(at, what).items():
                     top[n], before[n], weight[n] = _pick(h, before[n], goal[n])
             for n in list(open_):
-                c = F.shiftright(dim[n] if column is None else F.col(column), bits - used)
+                c = F.shiftright(dim[n] if column is None else F.col(column), bits - used[n])
                 low, high = goal[n] - before[n], before[n] + weight[n] - goal[n]
                 if column != "v" and min(low, high) > TOLERANCE * leaf_bytes:
                     found[n].append((c, top[n]))
@@ -140,9 +145,9 @@ def split_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict[int, int]]
     return at, {n: i for i, n in enumerate(order(1))}
 
 
-def kd_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def kd_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", lang: str | None = "lang", source: str | None = None) -> DataFrame:
     """Key, size, text_crc32, shard (0 to shards - 1) and slot (0, 1, ... without gaps in a shard)."""
-    rows = written(points(df, key, text, lang), "kd-points")
+    rows = written(points(df, key, text, {"c_lang": lang, "c_source": source}), "kd-points")
     at, shard_of = split_tree(rows, shards)
     shard = F.lit(0)
     for n, i in shard_of.items():
@@ -168,7 +173,7 @@ def write_shards(df: DataFrame, placed: DataFrame, path: str, key: str = "doc_id
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = kd_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 24)
+    placed = kd_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 24, source="source")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -424,6 +424,24 @@ def test_shards_balance_and_hold_copies_together(spark):
     assert (split > 1).mean() < 0.01
 
 
+def test_shards_of_equal_rows_and_null_keys(spark):
+    """10,000 equal rows, and as many with null keys: shards differ by hardly more than a row, and slots have no gaps."""
+    for key in ("7", "null"):
+        rows = spark.range(10_000).selectExpr(f"cast({key} as long) as doc_id", "'the same text' as text", "'en' as lang")
+        out = kdshard.kd_shards(rows, 8).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).toPandas()
+        assert len(out) == 8 and out["n"].max() - out["n"].min() <= 16 and (out["n"] == out["d"]).all() and (out["m"] + 1 == out["n"]).all()
+
+
+def test_shards_of_all_documents(spark, docs):
+    """Every document once, with its true size and checksum; shards near the mean, within what the largest documents force."""
+    out = kdshard.op4_kd_shards(spark, SF).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    assert sorted(out["doc_id"]) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    assert (out["size"] == [8 + len((t or "").encode()) for t in out["text"]]).all() and (out["text_crc32"] == [zlib.crc32((t or "").encode()) for t in out["text"]]).all()
+    goal = out["size"].sum() / 24
+    sums = out.groupby("shard")["size"].sum()
+    assert (abs(sums - goal) <= 5 * (out["size"].max() / 2) + 0.01 * goal).all()
+
+
 def test_warc_round_trip(spark):
     html = ["<p>a</p>", None, "same", "same", "é" * 100_000, "same", ""]
     pages = spark.createDataFrame([(i if i != 6 else None, f"http://h/{i}%\r\n" if i else None, h, f"r{i}") for i, h in enumerate(html)], "page_id long, url string, html string, row string")
