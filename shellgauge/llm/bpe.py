@@ -196,10 +196,9 @@ class Tokenizer:
         self.flat = np.frombuffer(b"".join(vocab.token.get(r, b"") for r in range(top)), np.uint8)
 
     def forget(self) -> None:
-        """Drops the pieces, prefixes and pairs; the vocabulary stays."""
-        for held in (self.cache, self.older, self.prefixes, self.older_prefixes, self.vocab._pairs):
-            held.clear()
-        self.held = 0
+        """Drops the older halves of what is remembered; the newer ones and the vocabulary stay for the next task."""
+        self.older.clear()
+        self.older_prefixes.clear()
 
     def piece(self, piece: str) -> bytes:
         """The ids of a piece that isn't in the cache."""
