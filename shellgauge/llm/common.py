@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+#: Where written() has put a table.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 #: What operators remember in a Python worker between tasks: name -> how to forget it. A task of another
 #: operator forgets it first, as Spark goes on with the same workers from stage to stage.
@@ -45,16 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a table made by written() that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith((shared_dir(spark), "file:" + shared_dir(spark).removeprefix("file://"))):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables made by written() that no later step reads; other tables stay as they are."""
+    for df in tables:
+        if (place := _places.pop(df, None)) is not None:
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(col: str | Column, m: int) -> Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import discard, map_slices, written
 
 K = 5
 ELL, ROWS, BANDS = 2, 3, 32
@@ -244,7 +244,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node's smaller neighbours move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        edges = written(joined.where("v > m").selectExpr("v as u", "m as v").union(least.selectExpr("u", "m as v")).distinct(), "links")
+        last, edges = edges, written(joined.where("v > m").selectExpr("v as u", "m as v").union(least.selectExpr("u", "m as v")).distinct(), "links")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == now:
             return edges.selectExpr("u as node", "v as root")
@@ -256,21 +257,35 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = written(signatures(df, key, text), "sketches")
     known = rows.where("node is not null")
     nodes = written(known.groupBy("node").agg(F.min("key_").alias("key_"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    roots = _linked(df, key, text, nodes)
+    slim = written(rows.select("key_", "node"), "keys")
+    discard(rows)
+    members = _members(nodes)
+    sizes = written(nodes.drop("bands"), "nodes")
+    discard(nodes)
+    rows, nodes = slim, sizes
+    roots = _linked(df, key, text, nodes, members)
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "key_", "rows")
     of_root = named.groupBy("root").agg(F.min("key_").alias("class_id"), F.sum("rows").alias("n_in_class"))
     class_of = written(named.join(of_root, "root").select("node", "class_id", "n_in_class"), "classes")
+    discard(nodes, roots, members)
     out = rows.select("key_", "node").join(class_of, "node", "left")
     return out.select(F.col("key_").alias(key), F.when(F.col("node").isNull(), F.col("key_")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_in_class", F.lit(1)).cast("long").alias("n_in_class"))
 
 
-def _linked(df: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
-    """node, root of all nodes that share a bucket with another."""
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+def _members(nodes: DataFrame) -> DataFrame:
+    """bucket, node, n, weight (nodes in all buckets of the node) of all nodes that share a bucket with another."""
+    # one exchange serves the count and the join; it's the widest of the job, and most buckets have one node
+    buckets = nodes.select("node", F.explode("bands").alias("bucket")).repartition("bucket")
+    shared = buckets.groupBy("bucket").agg(F.count("node").alias("size")).where("size > 1")
     members = written(buckets.join(shared, "bucket"), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = written(members.join(central, "node").join(nodes.select("node", "n"), "node").select("bucket", "node", "n", "weight"), "members")
+    out = written(members.join(central, "node").join(nodes.select("node", "n"), "node").select("bucket", "node", "n", "weight"), "members")
+    discard(members)
+    return out
+
+
+def _linked(df: DataFrame, key: str, text: str, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """node, root of all nodes that share a bucket with another."""
     roots = members.select("node", F.col("node").alias("root")).distinct()
     led = None  # bucket, leader, round of the rounds so far
     while True:
@@ -289,22 +304,35 @@ def _linked(df: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
         links = 0
         if tested:
             leaders = leaders.select("bucket", "leader", F.lit(n_round).alias("round"))
-            led = written(leaders if led is None else led.unionByName(leaders), "leaders")
+            last, led = led, written(leaders if led is None else led.unionByName(leaders), "leaders")
+            if last is not None:
+                discard(last)
             found = _verified(df, key, text, nodes, pairs)
             links = found.count()
-        if links:
-            roots = _merged(roots, found)
+            if links:
+                last, roots = roots, _merged(roots, found)
+                discard(last)
+            discard(found)
+        discard(placed, pairs)
         if links * MERGING < tested or not tested:
             break
     if led is None:
         return roots
     pairs = _across(df, key, text, nodes, members, led.where("round = 0"), roots)
-    return roots if pairs is None or pairs.isEmpty() else _merged(roots, _verified(df, key, text, nodes, pairs))
+    if pairs is None or pairs.isEmpty():
+        return roots
+    last, found = roots, _verified(df, key, text, nodes, pairs)
+    roots = _merged(roots, found)
+    discard(last, found, pairs, led)
+    return roots
 
 
 def _verified(df: DataFrame, key: str, text: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
-    return written(compared(pairs, node_texts(df, key, text, nodes, pairs)).where("ok").select("a", "b"), "links")
+    texts = node_texts(df, key, text, nodes, pairs)
+    out = written(compared(pairs, texts).where("ok").select("a", "b"), "links")
+    discard(texts)
+    return out
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -333,9 +361,11 @@ def _across(df: DataFrame, key: str, text: str, nodes: DataFrame, members: DataF
     if not total:
         return None
     tasks = -(-int(total) // TASK_PAIRS)
-    bags = _bags(node_texts(df, key, text, nodes, mixed.selectExpr("node as a", "node as b")))
-    of_node = mixed.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(bags, "node")
-    mixed = mixed.join(written(of_node, "bags"), "node")
+    texts = node_texts(df, key, text, nodes, mixed.selectExpr("node as a", "node as b"))
+    of_node = written(mixed.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(_bags(texts), "node"), "bags")
+    discard(placed, texts)
+    in_buckets = mixed
+    mixed = mixed.join(of_node, "node")
     own = lambda side: [f"{c} as {c}_{side}" for c in ("n", "root", "buckets", "bag", "marks")]
     left = mixed.where("outside").selectExpr("bucket", "pmod(xxhash64(node), grid) as row", "explode(sequence(0L, grid - 1L)) as col", "node as a", *own("a"))
     right = mixed.selectExpr("bucket", "pmod(xxhash64(node), grid) as col", "explode(sequence(0L, grid - 1L)) as row", "node as b", "outside as outside_b", *own("b"))
@@ -345,7 +375,9 @@ def _across(df: DataFrame, key: str, text: str, nodes: DataFrame, members: DataF
     not_in = "aggregate(zip_with(marks_a, marks_b, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
     enough = F.expr(f"(n_a - {not_in}) * {p + q} >= (n_a + n_b) * {p} and array_min(array_intersect(buckets_a, buckets_b)) = bucket and size(array_intersect(bag_a, bag_b)) * {p + q} >= (n_a + n_b) * {p}")
     left, right = (side.repartition(tasks, "bucket", "row", "col") for side in (left, right))  # by work, as bytes say little about it
-    return written(left.join(right, ["bucket", "row", "col"]).where(once & enough).select("a", "b").distinct(), "pairs")
+    out = written(left.join(right, ["bucket", "row", "col"]).where(once & enough).select("a", "b").distinct(), "pairs")
+    discard(in_buckets, of_node)
+    return out
 
 
 def marks(bag: np.ndarray) -> np.ndarray:
@@ -385,7 +417,9 @@ def node_texts(df: DataFrame, key: str, text: str, nodes: DataFrame, pairs: Data
 
         return fn
 
-    return written(map_slices(found, make, "mine boolean", ["node", "text"]).where("mine").select("node", "text").dropDuplicates(["node"]), "texts")
+    out = written(map_slices(found, make, "mine boolean", ["node", "text"]).where("mine").select("node", "text").dropDuplicates(["node"]), "texts")
+    discard(inside)
+    return out
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
