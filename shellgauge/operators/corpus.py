@@ -54,5 +54,6 @@ def top_groups(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def leaks(holdout: DataFrame, train: DataFrame) -> DataFrame:
-    """Holdout rows (text) whose normalised text a training row has."""
-    return holdout.join(train.select("text"), "text", "left_semi")
+    """Holdout rows (text) whose normalised text a training row has. A log repeats few texts often, so these
+    are made distinct map-side first; AQE broadcasts or splits what is left."""
+    return holdout.join(train.select("text").distinct(), "text", "left_semi")

@@ -28,11 +28,6 @@ def _side(coef: DataFrame) -> DataFrame:
     return F.broadcast(coef) if coef.count() <= BROADCAST_GRAMS else coef
 
 
-def gram_sums(grams: DataFrame, coef: DataFrame, key: str) -> DataFrame:
-    """key, sparse: sum of the coefficients of a command's n-grams; commands without a known one are absent."""
-    return grams.join(_side(coef), "gram").groupBy(key).agg(F.sum("coef").alias("sparse"))
-
-
 def dense_sum(dense: DataFrame) -> Column:
     """The dense part as one expression over the 38 columns; dense: name, coef, mean, std (38 rows)."""
     out = F.lit(0.0)
@@ -41,10 +36,16 @@ def dense_sum(dense: DataFrame) -> Column:
     return out
 
 
-def score(df: DataFrame, coef: DataFrame, dense: DataFrame, bias: float, key: str) -> DataFrame:
+def prepared(coef: DataFrame, dense: DataFrame) -> tuple[DataFrame, Column]:
+    """A model as scoring takes it, made once for many scorings: n-grams, to be broadcast if they are few, and the dense part."""
+    return _side(coef), dense_sum(dense)
+
+
+def score(df: DataFrame, model: tuple[DataFrame, Column], bias: float, key: str) -> DataFrame:
     """key, risk (0 to 2) of normalised commands with dense features (see features.dense)."""
-    sparse = gram_sums(X.gram_table(df, key), coef, key)
-    z = F.coalesce("sparse", F.lit(0.0)) + dense_sum(dense) + F.lit(bias)
+    coef, dense = model
+    sparse = X.gram_table(df, key).join(coef, "gram").groupBy(key).agg(F.sum("coef").alias("sparse"))
+    z = F.coalesce("sparse", F.lit(0.0)) + dense + F.lit(bias)
     return df.join(sparse, key, "left").select(*[c for c in df.columns if c not in X.DENSE], risk_of(z).alias("risk"))
 
 

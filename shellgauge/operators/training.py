@@ -17,6 +17,8 @@ NO_DATA = (1.0, 3.0)
 ALPHAS = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)
 #: Blocks by which sorted scores are dealt out to tasks, for each unit of score.
 BLOCKS = 64
+#: Blocks by which features are numbered; the table of their sizes is broadcast.
+NAME_BLOCKS = 1024
 
 
 def in_validation(command: Column, seed: int = 0, share: float = VALIDATION) -> Column:
@@ -53,12 +55,30 @@ def loss_and_gradient(features: DataFrame, targets: DataFrame, coef: DataFrame,
     return loss, gradient.unionByName(slope.agg(F.sum("slope").alias("gradient")).select(F.lit("").alias("feature"), "gradient"))
 
 
+def numbered(names: DataFrame) -> DataFrame:
+    """feature, at (from 0, without gaps) of distinct features: counted within blocks by hash, after a small sum over blocks."""
+    by = names.withColumn("block", F.pmod(F.xxhash64("feature"), F.lit(NAME_BLOCKS)))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = by.groupBy("block").agg(F.count("*").alias("size")).select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("feature"))
+    return by.join(F.broadcast(sizes), "block").select("feature", (F.col("before") + within - 1).cast("int").alias("at"))
+
+
 def rows_of_matrix(features: DataFrame, targets: DataFrame, names: DataFrame) -> DataFrame:
     """label, weight, at (positions of features), value: a row of the matrix for each target; names: feature, at."""
     own = features.join(names, "feature").groupBy("id").agg(F.collect_list(F.struct("at", "value")).alias("own"))
     return targets.join(own, "id", "left").select("label", "weight", F.coalesce("own.at", F.array().cast("array<int>")).alias("at"), F.coalesce("own.value", F.array().cast("array<double>")).alias("value"))
 
 
+def _risks(b: pd.DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Risk of each row of a batch; and row, position and value of all its entries."""
+    at = np.concatenate([*b["at"], np.zeros(0, np.int64)]).astype(np.int64)
+    value = np.concatenate([*b["value"], np.zeros(0)])
+    row = np.repeat(np.arange(len(b)), b["at"].str.len().to_numpy())
+    z = np.clip(np.bincount(row, value * w[at], len(b)) + w[-1], -60, 60)
+    return 2 / (1 + np.exp(-z)), row, at, value
+
+
 def evaluate(matrix: DataFrame, w: np.ndarray, alpha: float, n: int) -> tuple[float, np.ndarray]:
     """Loss and gradient at w (the last entry is the bias) by one pass: tasks sum up, Spark adds by position.
 
@@ -70,12 +90,7 @@ def evaluate(matrix: DataFrame, w: np.ndarray, alpha: float, n: int) -> tuple[fl
         w = shared.value
         grad, loss = np.zeros(len(w)), 0.0
         for b in batches:
-            sizes = b["at"].str.len().to_numpy()
-            at = np.concatenate([*b["at"], np.zeros(0, np.int64)]).astype(np.int64)
-            value = np.concatenate([*b["value"], np.zeros(0)])
-            row = np.repeat(np.arange(len(b)), sizes)
-            z = np.clip(np.bincount(row, value * w[at], len(b)) + w[-1], -60, 60)
-            risk = 2 / (1 + np.exp(-z))
+            risk, row, at, value = _risks(b, w)
             gap, weight = risk - b["label"].to_numpy(), b["weight"].to_numpy()
             loss += float((weight * gap * gap).sum()) / n
             slope = 2 * weight * gap * risk * (1 - risk / 2) / n
@@ -136,7 +151,7 @@ def fit(features: DataFrame, targets: DataFrame, alphas=ALPHAS, rounds: int = 50
     rows wins, the first of equal ones.
     """
     spark = features.sparkSession
-    names = features.select("feature").distinct().withColumn("at", (F.row_number().over(Window.orderBy("feature")) - 1).cast("int")).persist()
+    names = numbered(features.select("feature").distinct()).persist()
     size = names.count() + 1
     train, check = targets.where("not validation"), targets.where("validation")
     matrix = rows_of_matrix(features, train, names).persist()
@@ -150,8 +165,7 @@ def fit(features: DataFrame, targets: DataFrame, alphas=ALPHAS, rounds: int = 50
         def errors(batches, shared=shared):
             w = shared.value
             for b in batches:
-                z = np.array([float(np.dot(w[np.asarray(a, int)], v)) + w[-1] for a, v in zip(b["at"], b["value"], strict=True)])
-                yield pd.DataFrame({"e": np.abs(2 / (1 + np.exp(-np.clip(z, -60, 60))) - b["label"].to_numpy())})
+                yield pd.DataFrame({"e": np.abs(_risks(b, w)[0] - b["label"].to_numpy())})
 
         mae = held.mapInPandas(errors, "e double").agg(F.avg("e")).first()[0]
         mae = float("inf") if mae is None else mae

@@ -158,4 +158,5 @@ def audit_cte(table: str, column: str = "command", name: str = "audited") -> str
 
 
 def with_ctes(ctes: list[str], body: str) -> str:
-    return "with " + ",\n".join(ctes) + "\n" + body
+    """Each table is computed once, however many of the later ones read it."""
+    return "with " + ",\n".join(c.replace(" as (", " as materialized (", 1) for c in ctes) + "\n" + body

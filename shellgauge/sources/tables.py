@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,17 @@ CORPUS = "command string, label string, category string, source string, section
 LABEL_NAMES = {"SAFE": 0, "RISKY": 1, "DESTRUCTIVE": 2}
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); without one, only a
+    session on one machine gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A corpus CSV with header; commands may hold line ends. Missing section and transform are empty."""
     raw = spark.read.schema(CORPUS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -20,11 +20,12 @@ def read_log(spark: SparkSession, path: str, schema: str = SCHEMA, files_per_bat
 
 def score_stream(log: DataFrame, out: str, checkpoint: str, coef: DataFrame, dense: DataFrame, bias: float, warn: float, block: float) -> StreamingQuery:
     """Scores each micro-batch and writes it as Parquet, once: a batch that is repeated after a failure
-    overwrites its own folder. No state is kept between batches. Takes what is there and ends."""
+    overwrites its own folder. No state is kept between batches; the model is prepared once. Takes what is there and ends."""
+    model = scoring.prepared(coef, dense)
 
     def batch(df: DataFrame, number: int) -> None:
         ready = X.dense(normalize_commands(df)).drop("segments", "dropped_non_ascii")
-        scored = scoring.score(ready, coef, dense, bias, "event_id")
+        scored = scoring.score(ready, model, bias, "event_id")
         scored.select("event_id", "event_type", "risk", scoring.decided(F.col("risk"), warn, block).alias("verdict")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
