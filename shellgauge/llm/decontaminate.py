@@ -18,6 +18,8 @@ An item without id counts for hits but not among the items. Null texts have no w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -150,7 +152,7 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(items: DataFrame, key: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS):
-    """Automata of the items, block by block; the driver holds one block at a time."""
+    """Automata of the items, block by block; the driver holds two blocks at most."""
     block: list[tuple[int, list[bytes]]] = []
     total = 0
     for r in items.select(F.col(key).alias("k"), F.col(text).alias("t")).toLocalIterator():
@@ -170,17 +172,22 @@ KINDS = "n_words bigint, hit_spans array<struct<start:int,end:int>>, hit_items a
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, finish: tuple[str, Callable] | None = None) -> DataFrame:
     """All columns of docs (but for clashing ones), and n_words, hit_spans (in words, [start, end))
-    and hit_items (sorted as text)."""
+    and hit_items (sorted as text).
+
+    ``finish``, a schema and a function of texts, word numbers and spans, makes more columns in place of the text. It runs in
+    the last pass's workers, as a map of its own would double the workers of an executor.
+    """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
     found = blocks(items, item_key, item_text, block_words)
     block, out, first = next(found, None) or Automaton([]), docs.select(*keep), True
     while block is not None:
-        shared = spark.sparkContext.broadcast(block)
+        shared, block = spark.sparkContext.broadcast(block), next(found, None)
+        last = finish if block is None else None
 
-        def make(shared=shared, first=first):
+        def make(shared=shared, first=first, last=last):
             automaton = shared.value
 
             def fn(part):
@@ -191,14 +198,16 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: s
                     ws = words(t)
                     s2, i2 = automaton.scan(ws)
                     n.append(len(ws))
-                    spans.append([{"start": a, "end": b} for a, b in united([*((x["start"], x["end"]) for x in s), *s2])])
+                    spans.append(united([*((x["start"], x["end"]) for x in s), *s2]))
                     whose.append(sorted({*i, *(str(x) for x in i2 if x is not None)}))
-                return {"n_words": pa.array(n, pa.int64()), "hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(whose, pa.list_(pa.string()))}
+                more = last[1](col(text), n, spans) if last else {}
+                spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
+                return {"n_words": pa.array(n, pa.int64()), "hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(whose, pa.list_(pa.string()))} | more
 
             return fn
 
-        out = map_slices(out, make, KINDS, keep, text)
-        block, first = next(found, None), False
+        out = map_slices(out, make, f"{KINDS}, {last[0]}" if last else KINDS, [c for c in keep if not last or c != text], text)
+        first = False
         if block is not None:
             out = written(out, "hits")
     return out
@@ -234,22 +243,17 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     contaminated; one of which no word is left goes. Documents below the limit, without words or with a null text
     stay as they are. Same columns as docs."""
     rows, names = renamed(docs)
-    hits = find_hits(rows, items, names[text])
-
-    def make():
-        def fn(part):
-            col = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()
-            made, gone = [], []
-            for t, n, spans in zip(col(names[text]), col("n_words"), col("hit_spans"), strict=True):
-                hit = sum(s["end"] - s["start"] for s in spans)
-                bad = hit and SHARE * hit >= n
-                made.append(remove_spans(t, [(s["start"], s["end"]) for s in spans]) if bad else t)
-                gone.append(bool(bad and hit == n))
-            return {"cleaned_": pa.array(made, pa.string()), "gone_": pa.array(gone, pa.bool_())}
-
-        return fn
-
-    out = map_slices(hits, make, "cleaned_ string, gone_ boolean", [n for c, n in names.items() if c != text], names[text])
+
+    def cleaned(texts: list, n_words: list, spans: list) -> dict:
+        made, gone = [], []
+        for t, n, own in zip(texts, n_words, spans, strict=True):
+            hit = sum(end - start for start, end in own)
+            bad = hit and SHARE * hit >= n
+            made.append(remove_spans(t, own) if bad else t)
+            gone.append(bool(bad and hit == n))
+        return {"cleaned_": pa.array(made, pa.string()), "gone_": pa.array(gone, pa.bool_())}
+
+    out = find_hits(rows, items, names[text], finish=("cleaned_ string, gone_ boolean", cleaned))
     return out.where("not gone_").select(*[F.col("cleaned_" if c == text else n).alias(c) for c, n in names.items()])
 
 
