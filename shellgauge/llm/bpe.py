@@ -26,7 +26,7 @@ from .common import AT_END, REMEMBERED, map_slices
 
 #: Memory, in bytes, for what a Python worker remembers: encoded pieces, prefixes of pieces, and pairs of tokens.
 #: One that is full becomes the older half, and what is met again in that moves back. Results don't depend on it.
-PIECE_MEMORY, PREFIX_MEMORY, PAIR_MEMORY = 44 << 20, 32 << 20, 6 << 20
+PIECE_MEMORY, PREFIX_MEMORY, PAIR_MEMORY = 24 << 20, 24 << 20, 4 << 20
 #: Longest piece that is remembered.
 PIECE_CACHE_BYTES = 48
 #: About what one entry takes in a dictionary: slot, key and value objects (a piece's own bytes come on top), and a pair of tokens.

@@ -96,7 +96,6 @@ def map_slices(
     out_schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin(remembers)
         fn = make()
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(text), slice_bytes):
@@ -104,11 +103,21 @@ def map_slices(
                 cols = {c: part.column(part.schema.get_field_index(c)) for c in keep}
                 cols |= {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in made.items()}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return df.mapInArrow(tidy(run, remembers), out_schema)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembers: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, in a worker that forgets first what other operators remember and gives memory back at the end."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(remembers)
+        yield from run(batches)
         for forget in AT_END.values():
             forget()
         release()
 
-    return df.mapInArrow(run, out_schema)
+    return inner
 
 
 def begin(remembers: str) -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, renamed
+from .common import map_slices, renamed, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_SPANS = 20_000, 40
@@ -310,7 +310,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text") -> Finder:
             cols = list(zip(*made, strict=True)) if made else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["place", "kind", "label", "weight", "x"])
 
-    got = sample.mapInArrow(gather, "place bigint, kind int, label int, weight double, x array<double>").toPandas()
+    got = sample.mapInArrow(tidy(gather), "place bigint, kind int, label int, weight double, x array<double>").toPandas()
     if not len(got):
         return Finder()
     got = got.sort_values(["place", "kind", "label", "weight"], kind="stable").reset_index(drop=True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices
+from .common import map_slices, slices, tidy
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
@@ -118,7 +118,7 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
         yield from flush(True)
 
     known = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
-    counted = known.mapInArrow(count, "lang string, kind int, word binary, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    counted = known.mapInArrow(tidy(count), "lang string, kind int, word binary, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     totals = Counter()
     counted = counted.persist()
     for r in counted.where("kind = 2 or kind = 0").groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect():
