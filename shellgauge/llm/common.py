@@ -11,9 +11,12 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a range of ranked(), about, while there are not too many ranges.
+RANK_ROWS = 20_000
+
 _own_dir: list[str] = []
 #: Where written() has put a table.
 _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -28,11 +31,13 @@ AT_END: dict[str, Callable[[], None]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the session does not name one (tests on one machine), a temporary folder is made.
+    Where the session does not name one, a session on one machine (tests) gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-llm-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -78,6 +83,24 @@ def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds rank (from 0, without gaps, nulls first) and n (rows of the group) within each value of ``group``, which isn't null.
+
+    Rows are dealt to range partitions of group, order and a random number, so that neither a group nor equal rows have to
+    meet in one task; within a partition a window numbers them, and another over the partitions' sizes carries the numbers on.
+    """
+    by = [F.col(c).asc_nulls_first() for c in order]
+    # explicit, so that ranges are many however small their rows are
+    tasks = max(1, min(-(-rows.count() // RANK_ROWS), 64 * rows.sparkSession.sparkContext.defaultParallelism))
+    dealt = written(rows.withColumn("r_", F.rand(12)).repartitionByRange(tasks, F.col(group), *by, "r_").drop("r_").withColumn("part_", F.spark_partition_id()), "dealt")
+    parts = dealt.groupBy(F.col(group).alias("g_"), F.col("part_").alias("p_")).agg(F.count("*").alias("size_"))
+    whole = Window.partitionBy("g_")
+    sizes = parts.select("g_", "p_", F.coalesce(F.sum("size_").over(whole.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("size_").over(whole).alias("n"))
+    within = F.row_number().over(Window.partitionBy(group, "part_").orderBy(*by))
+    numbered = dealt.withColumn("within_", within).join(sizes, (F.col(group) == F.col("g_")) & (F.col("part_") == F.col("p_")))
+    return numbered.select(*rows.columns, (F.col("before_") + F.col("within_") - 1).alias("rank"), "n")
+
+
 def map_slices(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict]],

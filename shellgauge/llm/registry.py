@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "warc", "toxicity", "kdshard", "neardup", "pii", "bpe", "decontaminate", "langid", "linkgraph")
+MODULES = ("quality", "warc", "toxicity", "kdshard", "neardup", "pii", "bpe", "decontaminate", "langid", "linkgraph", "seekzst", "manifest", "repair")
 
 
 def _gather(name: str) -> dict:
