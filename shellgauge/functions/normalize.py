@@ -76,11 +76,12 @@ def fold_maps() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
 
 
 def fold(c: Column) -> Column:
+    """Text of ASCII only stays as it is and isn't looked up character by character."""
     chars, to, long, _ = fold_maps()
-    c = F.translate(c, chars, to)
+    folded = F.translate(c, chars, to)
     for a, b in long:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+        folded = F.replace(folded, F.lit(a), F.lit(b))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
 
 
 def needs_exact(c: Column) -> Column:
@@ -103,55 +104,64 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKENS), F.lit(0))
 
 
-def pieces(toks: Column) -> Column:
-    """Contents cleaned, operators canonical (";" for line ends) with a space on either side."""
+#: Marks before and after an operator in folded text. The input's own go first, as controls that are dropped anyway.
+OPEN, CLOSE = "\x02", "\x03"
 
-    def piece(t: Column) -> Column:
-        return F.when(t.isin("\r", "\n", ";"), F.lit(" ; ")).when(t.isin("&&", "||", "|", "&"), F.concat(F.lit(" "), t, F.lit(" "))).otherwise(clean_piece(t))
 
-    return F.transform(toks, piece)
+def marked(plain: Column) -> Column:
+    """Folded text with its operators between marks: what folds to an operator's character isn't one, so they are marked before."""
+    c = F.translate(plain, OPEN + CLOSE, "\x04\x04")
+    return fold(F.regexp_replace(c, r"(&&|\|\||[;|&\r\n])", f"{OPEN}$1{CLOSE}"))
 
 
-def segments(toks: Column) -> Column:
-    contents = F.filter(toks, lambda t: ~t.isin(*OPERATORS))
-    return F.filter(F.transform(contents, clean_piece), lambda s: s != "")
+def cleaned(folded: Column) -> Column:
+    """Marked text in lower-case printable ASCII; a line end between marks becomes a space."""
+    c = F.translate(folded, "\t\x0b\f\r\n", "     ")
+    return F.lower(F.regexp_replace(c, f"[^\\x20-\\x7E{OPEN}{CLOSE}]", ""))
 
 
-def text_view(toks: Column) -> Column:
-    return F.trim(F.regexp_replace(F.array_join(pieces(toks), " "), r" {2,}", " "))
+def text_view(clean: Column) -> Column:
+    """Contents and operators, ";" for line ends, single spaces between all."""
+    c = F.translate(F.replace(clean, F.lit(f"{OPEN} {CLOSE}"), F.lit(" ; ")), OPEN + CLOSE, "  ")
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
+
+
+def segments(clean: Column) -> Column:
+    contents = F.split(clean, f"{OPEN}[^{CLOSE}]*{CLOSE}")
+    return F.filter(F.transform(contents, lambda t: F.trim(F.regexp_replace(t, " {2,}", " "))), lambda s: s != "")
 
 
 def unquoted_view(text: Column) -> Column:
     return F.translate(text, "'\"", "")
 
 
-def dropped(c: Column) -> Column:
-    """Characters that have no ASCII form, counted over the whole input without escapes; controls count."""
-    return F.length(F.regexp_replace(fold(c), r"[\x20-\x7E]", "")).cast("int")
+def dropped(folded: Column) -> Column:
+    """Characters that have no ASCII form, counted over the whole input without escapes; controls count, marks don't."""
+    return F.length(F.regexp_replace(folded, f"[\\x20-\\x7E{OPEN}{CLOSE}]", "")).cast("int")
 
 
 def native(c: Column) -> Column:
-    toks = tokens(strip_escapes(c))
-    text = text_view(toks)
-    return F.struct(text.alias("text"), unquoted_view(text).alias("unquoted"), segments(toks).alias("segments"), dropped(strip_escapes(c)).alias("dropped_non_ascii"))
+    folded = marked(strip_escapes(c))
+    text = text_view(cleaned(folded))
+    return F.struct(text.alias("text"), unquoted_view(text).alias("unquoted"), segments(cleaned(folded)).alias("segments"), dropped(folded).alias("dropped_non_ascii"))
 
 
 def normalize_commands(df: DataFrame, column: str = "command", exotic: bool = False) -> DataFrame:
     """Adds text, unquoted, segments, dropped_non_ascii; null commands give nulls.
 
-    The token array is its own projection, so that the views share it. With ``exotic``, rows that
-    need it go through exact(); the others send nulls there.
+    Operators are marked and characters folded once; all results are cut from that text, which is its own
+    projection. With ``exotic``, rows that need it go through exact(); the others send nulls there.
     """
-    out = df.withColumn("plain_", strip_escapes(F.col(column)))
-    out = out.withColumn("tokens_", tokens(F.col("plain_")))
-    out = out.withColumn("text", text_view(F.col("tokens_"))).withColumn("segments", segments(F.col("tokens_")))
-    out = out.withColumn("unquoted", unquoted_view(F.col("text"))).withColumn("dropped_non_ascii", dropped(F.col("plain_")))
+    out = df.withColumn("folded_", marked(strip_escapes(F.col(column))))
+    out = out.withColumn("clean_", cleaned(F.col("folded_")))
+    out = out.withColumn("text", text_view(F.col("clean_"))).withColumn("segments", segments(F.col("clean_")))
+    out = out.withColumn("unquoted", unquoted_view(F.col("text"))).withColumn("dropped_non_ascii", dropped(F.col("folded_")))
     if exotic:
         out = out.withColumn("exact_", exact(F.when(needs_exact(F.col(column)), F.col(column))))
         for f in RESULT.fieldNames():
             out = out.withColumn(f, F.coalesce(F.col(f"exact_.{f}"), F.col(f)))
         out = out.drop("exact_")
-    return out.drop("plain_", "tokens_")
+    return out.drop("folded_", "clean_")
 
 
 _ESCAPES, _TOKENS = re.compile(ESCAPES), re.compile(TOKENS)

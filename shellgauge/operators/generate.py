@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans import rules as R
+from ..sources.tables import dealt
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
@@ -101,6 +102,6 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, user_id, event_type, command, category, risk, source: one command for each event."""
     dim = command_table(spark)
     n = dim.count()
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    events = dealt(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type"))
     joined = events.join(F.broadcast(dim), F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(n)) == F.col("pos"))
     return joined.select("event_id", "ts", "user_id", "event_type", varied(F.col("command"), F.col("event_id"), F.col("user_id")).alias("command"), "category", "risk", "source")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as X
@@ -11,8 +15,12 @@ from .training import risk_of
 # Coefficients below this are pruned; contributions that are shown; how many of them; and tolerances.
 PRUNE, SHOWN, TOP = 1e-4, 0.01, 8
 FOLD_TOLERANCE, GOLDEN_TOLERANCE, DRIFT_TOLERANCE = 1e-9, 1e-4, 1e-9
-#: A model's n-grams are broadcast if there are at most so many (about 100 bytes each).
+#: A model's n-grams are broadcast if there are at most so many (about 100 bytes each as rows, 16 as arrays).
 BROADCAST_GRAMS = 1_000_000
+#: A packed model's n-grams are broadcast up to this many (16 bytes each); more are joined.
+PACKED_GRAMS = 8_000_000
+#: Characters of an n-gram that fit into a key.
+KEY_BYTES = 7
 
 
 def folded(weights: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -36,17 +44,90 @@ def dense_sum(dense: DataFrame) -> Column:
     return out
 
 
-def prepared(coef: DataFrame, dense: DataFrame) -> tuple[DataFrame, Column]:
-    """A model as scoring takes it, made once for many scorings: n-grams, to be broadcast if they are few, and the dense part."""
-    return _side(coef), dense_sum(dense)
-
-
-def score(df: DataFrame, model: tuple[DataFrame, Column], bias: float, key: str) -> DataFrame:
+def gram_key(gram: Column) -> Column:
+    """An n-gram of up to KEY_BYTES ASCII characters as a number, one byte each: equal only for equal n-grams, as no byte is zero."""
+    return F.conv(F.hex(gram), 16, 10).cast("long")
+
+
+def keys_in(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of all n-grams of normalised texts, repeats included; a null text has none."""
+    text = text.cast(pa.large_string())
+    at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.int64)
+    row = np.repeat(np.arange(len(text)), np.diff(at))
+    rows, keys, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], data
+    for n in range(2, max(X.SIZES) + 1):
+        if len(data) < n:
+            break
+        key = key[:-1] << 8 | data[n - 1 :]
+        if n in X.SIZES:
+            whole = row[: len(key)] == row[n - 1 :]
+            rows.append(row[: len(key)][whole])
+            keys.append(key[whole])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+@dataclass
+class Packed:
+    """A model's n-grams as sorted keys and their coefficients, in the order of the keys; small enough for every task."""
+
+    keys: np.ndarray
+    coefs: np.ndarray
+
+    def sums(self, text: pa.Array, unquoted: pa.Array) -> np.ndarray:
+        """The sum of the coefficients of each row's set of n-grams."""
+        found = []
+        for view in (text, unquoted):
+            row, key = keys_in(view)
+            at = np.searchsorted(self.keys, key)
+            at[at == len(self.keys)] = 0
+            known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+            found.append(row[known] * len(self.keys) + at[known])
+        # an n-gram counts once for a row, however often and in which view it occurs
+        row, at = np.divmod(np.unique(np.concatenate(found)), max(1, len(self.keys)))
+        return np.bincount(row, self.coefs[at], len(text))
+
+
+def sparse_sum(spark: SparkSession, model: Packed, text: str = "text", unquoted: str = "unquoted") -> Column:
+    """The n-grams' part of a row's score, from the row alone: no join, no grouping. The model is broadcast once."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def summed(text: pa.Array, unquoted: pa.Array) -> pa.Array:
+        return pa.array(shared.value.sums(text, unquoted))
+
+    return summed(F.col(text), F.col(unquoted))
+
+
+@dataclass
+class Model:
+    """What scoring takes, made once for many scorings: the n-grams' part as a column (or, if there are too many for
+    every task, as a table to be joined), and the dense part as a column."""
+
+    sparse: Column | None
+    dense: Column
+    coef: DataFrame
+
+
+def prepared(coef: DataFrame, dense: DataFrame) -> Model:
+    """coef: gram, coef; dense: name, coef, mean, std."""
+    fits = coef.limit(PACKED_GRAMS + 1).count() <= PACKED_GRAMS and not coef.where(F.octet_length("gram") > KEY_BYTES).limit(1).count()
+    sparse = None
+    if fits:
+        rows = coef.select(gram_key(F.col("gram")).alias("key"), "coef").toArrow()
+        keys, coefs = rows["key"].to_numpy(), rows["coef"].to_numpy()
+        order = np.argsort(keys)
+        sparse = sparse_sum(coef.sparkSession, Packed(keys[order], coefs[order]))
+    return Model(sparse, dense_sum(dense), coef)
+
+
+def score(df: DataFrame, model: Model, bias: float, key: str) -> DataFrame:
     """key, risk (0 to 2) of normalised commands with dense features (see features.dense)."""
-    coef, dense = model
-    sparse = X.gram_table(df, key).join(coef, "gram").groupBy(key).agg(F.sum("coef").alias("sparse"))
-    z = F.coalesce("sparse", F.lit(0.0)) + dense + F.lit(bias)
-    return df.join(sparse, key, "left").select(*[c for c in df.columns if c not in X.DENSE], risk_of(z).alias("risk"))
+    kept = [c for c in df.columns if c not in X.DENSE]
+    if model.sparse is not None:
+        return df.withColumn("sparse_", model.sparse).select(*kept, risk_of(F.col("sparse_") + model.dense + F.lit(bias)).alias("risk"))
+    sparse = X.gram_table(df, key).join(_side(model.coef), "gram").groupBy(key).agg(F.sum("coef").alias("sparse_"))
+    return df.join(sparse, key, "left").select(*kept, risk_of(F.coalesce("sparse_", F.lit(0.0)) + model.dense + F.lit(bias)).alias("risk"))
 
 
 def decided(risk: Column, warn, block) -> Column:

@@ -139,7 +139,7 @@ DOCS = [Q.norm_cte("documents", "text_", latin=True).replace("from documents", "
 
 
 def norm_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text_"))
+    docs = Tab.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text_")))
     return N.normalize_commands(docs, "text_")
 
 

@@ -446,6 +446,6 @@ def r01_stream_scores(spark, sf_dir):
     cols = [c.split()[0] for c in SCHEMA.split(", ")]
     C.log(spark, sf_dir).select(*cols).write.parquet(f"{folder}/in")
     coef, named, meta = stored_model(spark, sf_dir)
-    score_stream(read_log(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state", coef, named, *meta.select("bias", "warn", "block").first()).awaitTermination()
+    score_stream(read_log(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state", S.prepared(coef, named), *meta.select("bias", "warn", "block").first()).awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return out.select("event_id", F.round("risk", 6).alias("score"), "verdict")

@@ -24,6 +24,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scanned table with at least as many partitions as there are cores: a file of one row group, however costly its rows are,
+    would be one task. Tables with enough splits stay as they are, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A corpus CSV with header; commands may hold line ends. Missing section and transform are empty."""
     raw = spark.read.schema(CORPUS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)

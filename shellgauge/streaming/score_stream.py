@@ -18,14 +18,16 @@ def read_log(spark: SparkSession, path: str, schema: str = SCHEMA, files_per_bat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def score_stream(log: DataFrame, out: str, checkpoint: str, coef: DataFrame, dense: DataFrame, bias: float, warn: float, block: float) -> StreamingQuery:
-    """Scores each micro-batch and writes it as Parquet, once: a batch that is repeated after a failure
-    overwrites its own folder. No state is kept between batches; the model is prepared once. Takes what is there and ends."""
-    model = scoring.prepared(coef, dense)
-
-    def batch(df: DataFrame, number: int) -> None:
-        ready = X.dense(normalize_commands(df)).drop("segments", "dropped_non_ascii")
-        scored = scoring.score(ready, model, bias, "event_id")
-        scored.select("event_id", "event_type", "risk", scoring.decided(F.col("risk"), warn, block).alias("verdict")).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def scored_stream(log: DataFrame, model: scoring.Model, bias: float, warn: float, block: float) -> DataFrame:
+    """event_id, event_type, risk, verdict of each command, as one plan without state: a row is scored from itself alone."""
+    if model.sparse is None:
+        raise ValueError("a stream needs a model whose n-grams fit into every task")
+    ready = X.dense(normalize_commands(log)).drop("segments", "dropped_non_ascii")
+    scored = scoring.score(ready, model, bias, "event_id")
+    return scored.select("event_id", "event_type", "risk", scoring.decided(F.col("risk"), warn, block).alias("verdict"))
+
+
+def score_stream(log: DataFrame, out: str, checkpoint: str, model: scoring.Model, bias: float, warn: float, block: float) -> StreamingQuery:
+    """Writes the scored stream as Parquet files, each micro-batch exactly once. Takes what is there and ends."""
+    writer = scored_stream(log, model, bias, warn, block).writeStream.format("parquet").outputMode("append")
+    return writer.option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
