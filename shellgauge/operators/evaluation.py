@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import quantiles
 from .training import MISS_COST
 
 RARE = 0.999
@@ -28,16 +29,23 @@ def confusion(scores: DataFrame, warn, block) -> DataFrame:
 
 
 def ranges(scores: DataFrame) -> DataFrame:
-    """Rows and spread of the scores of each class."""
-    q = F.percentile("risk", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = scores.groupBy("truth").agg(F.count("*").alias("n"), F.min("risk").alias("low"), q.alias("q"), F.max("risk").alias("high"))
-    return out.select("truth", "n", "low", *[F.col("q")[i].alias(k) for i, k in enumerate(("p50", "p90", "p99"))], "high")
+    """Rows and spread of the scores of each class; quantiles are exact and need no task that holds a class (see selection)."""
+    shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    found = quantiles(scores, "risk", list(shares.values()), "truth")
+    out = scores.groupBy("truth").agg(F.count("*").alias("n"), F.min("risk").alias("low"), F.max("risk").alias("high"))
+    for i, name in enumerate(shares):
+        at = F.lit(None).cast("double")
+        for truth, values in found.items():
+            at = F.when(F.col("truth").eqNullSafe(F.lit(truth)), values[i]).otherwise(at)
+        out = out.withColumn(name, at)
+    return out.select("truth", "n", "low", *shares, "high")
 
 
 def reachability(scores: DataFrame, block) -> DataFrame:
     """Whether any score, or more than a thousandth of them, can reach the block threshold."""
     r = F.col("risk")
-    one = scores.agg(F.max(r).alias("highest"), F.percentile(r, F.lit(RARE)).alias("p999"), F.avg((r >= block).cast("double")).alias("fired"))
+    rare = quantiles(scores, "risk", [RARE]).get(None, [None])[0]
+    one = scores.agg(F.max(r).alias("highest"), F.avg((r >= block).cast("double")).alias("fired")).withColumn("p999", F.lit(rare).cast("double"))
     return one.select("highest", "p999", "fired", (F.lit(block) > F.col("highest")).alias("unreachable"), (F.lit(block) > F.col("p999")).alias("rare"))
 
 

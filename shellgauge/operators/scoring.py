@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import features as X
 from .training import risk_of
 
-# Coefficients below this are pruned; contributions that are shown; how many of them; and tolerances.
-PRUNE, SHOWN, TOP = 1e-4, 0.01, 8
+# Coefficients below this are pruned; contributions that are shown; how many of them, and in a trace; and tolerances.
+PRUNE, SHOWN, TOP, TRACED = 1e-4, 0.01, 8, 10
 FOLD_TOLERANCE, GOLDEN_TOLERANCE, DRIFT_TOLERANCE = 1e-9, 1e-4, 1e-9
 #: A model's n-grams are broadcast if there are at most so many (about 100 bytes each as rows, 16 as arrays).
 BROADCAST_GRAMS = 1_000_000
@@ -74,8 +74,9 @@ class Packed:
     keys: np.ndarray
     coefs: np.ndarray
 
-    def sums(self, text: pa.Array, unquoted: pa.Array) -> np.ndarray:
-        """The sum of the coefficients of each row's set of n-grams."""
+    def found(self, text: pa.Array, unquoted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and place in the model of each row's set of known n-grams: one counts once for a row, however often and in
+        which view it occurs."""
         found = []
         for view in (text, unquoted):
             row, key = keys_in(view)
@@ -83,10 +84,30 @@ class Packed:
             at[at == len(self.keys)] = 0
             known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
             found.append(row[known] * len(self.keys) + at[known])
-        # an n-gram counts once for a row, however often and in which view it occurs
-        row, at = np.divmod(np.unique(np.concatenate(found)), max(1, len(self.keys)))
+        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.keys)))
+
+    def sums(self, text: pa.Array, unquoted: pa.Array) -> np.ndarray:
+        """The sum of the coefficients of each row's set of n-grams."""
+        row, at = self.found(text, unquoted)
         return np.bincount(row, self.coefs[at], len(text))
 
+    def largest(self, text: pa.Array, unquoted: pa.Array, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row and place of each row's ``top`` n-grams of the largest coefficients by size, of equal ones the first by name."""
+        row, at = self.found(text, unquoted)
+        # keys with their first byte in one place are in order of the names
+        size = np.ceil(np.log2(self.keys[at] + 1) / 8).astype(np.int64)
+        order = np.lexsort((self.keys[at] << (8 * (KEY_BYTES - size)), -np.abs(self.coefs[at]), row))
+        row, at = row[order], at[order]
+        first = np.searchsorted(row, row)
+        inside = np.arange(len(row)) - first < top
+        return row[inside], at[inside]
+
+    def listed(self, n: int, row: np.ndarray, at: np.ndarray) -> pa.Array:
+        """An array of (feature, weight) for each of n rows."""
+        names = [int(k).to_bytes(KEY_BYTES, "big").lstrip(b"\0").decode() for k in self.keys[at]]
+        entries = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(self.coefs[at])], names=["feature", "weight"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), entries)
+
 
 def sparse_sum(spark: SparkSession, model: Packed, text: str = "text", unquoted: str = "unquoted") -> Column:
     """The n-grams' part of a row's score, from the row alone: no join, no grouping. The model is broadcast once."""
@@ -99,6 +120,38 @@ def sparse_sum(spark: SparkSession, model: Packed, text: str = "text", unquoted:
     return summed(F.col(text), F.col(unquoted))
 
 
+def largest_sparse(spark: SparkSession, model: Packed, top: int, text: str = "text", unquoted: str = "unquoted") -> Column:
+    """The n-grams of the largest coefficients of a row, as an array of (feature, weight): bounded within the row, so nothing is exploded or ranked."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("array<struct<feature:string,weight:double>>")
+    def found(text: pa.Array, unquoted: pa.Array) -> pa.Array:
+        return shared.value.listed(len(text), *shared.value.largest(text, unquoted, top))
+
+    return found(F.col(text), F.col(unquoted))
+
+
+def traced(spark: SparkSession, model: Packed, top: int, text: str = "text", unquoted: str = "unquoted") -> Column:
+    """(known, unknown, sparse, top) of a row's n-grams: how many the model has and lacks, the sum, and the largest."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<known:bigint,unknown:bigint,sparse:double,top:array<struct<feature:string,weight:double>>>")
+    def found(text: pa.Array, unquoted: pa.Array) -> pa.Array:
+        model, n = shared.value, len(text)
+        row, at = model.found(text, unquoted)
+        both = [keys_in(view) for view in (text, unquoted)]
+        rows, keys = (np.concatenate(x) for x in zip(*both, strict=True))
+        order = np.lexsort((keys, rows))
+        rows, keys = rows[order], keys[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+        known = np.bincount(row, minlength=n)
+        parts = [pa.array(known), pa.array(np.bincount(rows[new], minlength=n) - known), pa.array(np.bincount(row, model.coefs[at], n)), model.listed(n, *model.largest(text, unquoted, top))]
+        return pa.StructArray.from_arrays(parts, names=["known", "unknown", "sparse", "top"])
+
+    return found(F.col(text), F.col(unquoted))
+
+
 @dataclass
 class Model:
     """What scoring takes, made once for many scorings: the n-grams' part as a column (or, if there are too many for
@@ -109,15 +162,20 @@ class Model:
     coef: DataFrame
 
 
+def packed(coef: DataFrame) -> Packed | None:
+    """The n-grams (gram, coef) as arrays; None if they are too many, or too long for a key."""
+    if coef.limit(PACKED_GRAMS + 1).count() > PACKED_GRAMS or not coef.where(F.octet_length("gram") > KEY_BYTES).isEmpty():
+        return None
+    rows = coef.select(gram_key(F.col("gram")).alias("key"), "coef").toArrow()
+    keys, coefs = rows["key"].to_numpy(), rows["coef"].to_numpy()
+    order = np.argsort(keys)
+    return Packed(keys[order], coefs[order])
+
+
 def prepared(coef: DataFrame, dense: DataFrame) -> Model:
     """coef: gram, coef; dense: name, coef, mean, std."""
-    fits = coef.limit(PACKED_GRAMS + 1).count() <= PACKED_GRAMS and not coef.where(F.octet_length("gram") > KEY_BYTES).limit(1).count()
-    sparse = None
-    if fits:
-        rows = coef.select(gram_key(F.col("gram")).alias("key"), "coef").toArrow()
-        keys, coefs = rows["key"].to_numpy(), rows["coef"].to_numpy()
-        order = np.argsort(keys)
-        sparse = sparse_sum(coef.sparkSession, Packed(keys[order], coefs[order]))
+    arrays = packed(coef)
+    sparse = None if arrays is None else sparse_sum(coef.sparkSession, arrays)
     return Model(sparse, dense_sum(dense), coef)
 
 
@@ -134,18 +192,15 @@ def decided(risk: Column, warn, block) -> Column:
     return F.when(risk >= block, "destructive").when(risk >= warn, "risky").otherwise("safe")
 
 
-def contributions(grams: DataFrame, coef: DataFrame, long_z: DataFrame, dense: DataFrame, key: str) -> DataFrame:
-    """key, feature, weight of all contributions above SHOWN; long_z: key, feature, z."""
-    sparse = grams.join(_side(coef), "gram").select(key, F.col("gram").alias("feature"), F.col("coef").alias("weight"))
-    own = dense.select(F.col("name").alias("feature"), F.col("coef").alias("coef_"))
-    rest = long_z.join(F.broadcast(own), "feature").select(key, "feature", (F.col("z") * F.col("coef_")).alias("weight"))
-    return sparse.unionByName(rest).where(F.abs("weight") > SHOWN)
-
-
-def explained(parts: DataFrame, key: str, top: int = TOP) -> DataFrame:
-    """The largest contributions of each command, ranked; a command's features bound its partition."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.abs("weight")), "feature"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= top)
+def explained(df: DataFrame, model: Packed, dense: DataFrame, key: str, top: int = TOP) -> DataFrame:
+    """key, rank, feature, weight of the largest contributions of each command (with text, unquoted and dense features) above SHOWN, by
+    size, of equal ones the first by name. The n-grams' largest and the 38 dense ones are sorted within the row."""
+    spec = sorted(dense.collect(), key=lambda r: X.DENSE.index(r["name"]))
+    own = [F.struct(F.lit(r["name"]).alias("feature"), (F.lit(r["coef"]) * ((F.col(r["name"]) - F.lit(r["mean"])) / F.lit(r["std"]))).alias("weight")) for r in spec]
+    every = F.filter(F.concat(largest_sparse(df.sparkSession, model, top), F.array(*own)), lambda x: F.abs(x["weight"]) > SHOWN)
+    ranked = F.array_sort(F.transform(every, lambda x: F.struct((-F.abs(x["weight"])).alias("size"), x["feature"].alias("feature"), x["weight"].alias("weight"))))
+    out = df.select(key, F.posexplode(F.slice(ranked, 1, top)).alias("rank", "part"))
+    return out.select(key, (F.col("rank") + 1).alias("rank"), "part.feature", "part.weight")
 
 
 def golden_sample(scored: DataFrame, per_label: int, total: int) -> DataFrame:
@@ -180,8 +235,3 @@ def drift(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = left.withColumnRenamed("value", "a").join(right.withColumnRenamed("value", "b"), [key, "feature"])
     gap = F.abs(F.col("a") - F.col("b"))
     return both.where(gap > DRIFT_TOLERANCE).groupBy("feature").agg(F.count("*").alias("n"), F.max(gap).alias("max_diff"))
-
-
-def trace(grams: DataFrame, coef: DataFrame, key: str) -> DataFrame:
-    """key, known, unknown, sparse of each command's n-grams."""
-    return grams.join(_side(coef), "gram", "left").groupBy(key).agg(F.count("coef").alias("known"), F.count_if(F.col("coef").isNull()).alias("unknown"), F.coalesce(F.sum("coef"), F.lit(0.0)).alias("sparse"))

@@ -4,28 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from dataclasses import dataclass, field
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from .selection import order_statistics
+
 # Share of validation, weight of the middle class, cost of a missed destructive command,
 # recalls that the thresholds have to reach, and thresholds where there is nothing to learn from.
 VALIDATION, AMBIGUOUS_WEIGHT, MISS_COST = 0.15, 0.7, 20
 WARN_RECALL, BLOCK_RECALL = 0.98, 0.995
 NO_DATA = (1.0, 3.0)
-ALPHAS = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)
-#: Blocks by which sorted scores are dealt out to tasks, for each unit of score.
-BLOCKS = 64
+ALPHAS = (0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
+#: Distinct scores of a block, about, by which sorted scores are dealt out to tasks.
+BLOCK_SCORES = 20_000
+#: The fit ends where no gradient's norm is above TOLERANCE, or after ROUNDS steps.
+TOLERANCE, ROUNDS = 1e-6, 500
+#: Gradients of tasks are added by the driver up to so many bytes, else by CHUNK features in tasks of their own.
+DIRECT_BYTES, CHUNK = 32 << 20, 1024
 #: Blocks by which features are numbered; the table of their sizes is broadcast.
 NAME_BLOCKS = 1024
 
 
-def in_validation(command: Column, seed: int = 0, share: float = VALIDATION) -> Column:
-    """By a hash of the command, so that each label gives the same share, copies stay together and nothing is
-    shuffled or ranked."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}|"), command), 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000 < round(share * 10_000)
+def split_hash(command: Column, seed: int = 0) -> Column:
+    """52 bits of a digest of the command, as a number that a double holds exactly."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), command), 256), 1, 13), 16, 10).cast("long")
+
+
+def stratified(df: DataFrame, label: str = "label", command: str = "command", seed: int = 0, share: float = VALIDATION) -> DataFrame:
+    """Adds validation: of each label's rows, those of the smallest hashes, a rounded share of them. Rows of one command have one
+    hash and stay together, so a label has exactly its share where commands are distinct. The bounds are found by
+    refined histograms (see selection): nothing is ranked or sorted."""
+    hashed = df.withColumn("hash_", split_hash(F.col(command), seed))
+    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    wanted = {g: [int(share * n + 0.5) - 1] for g, n in sizes.items() if int(share * n + 0.5) > 0}
+    bounds = order_statistics(hashed, "hash_", wanted, label)
+    last = F.lit(-1.0)
+    for (g, _), v in bounds.items():
+        last = F.when(F.col(label).eqNullSafe(F.lit(g)), v).otherwise(last)
+    return hashed.withColumn("validation", F.col("hash_") <= last).drop("hash_")
 
 
 def ambiguity_weight(label: Column) -> Column:
@@ -70,82 +91,134 @@ def rows_of_matrix(features: DataFrame, targets: DataFrame, names: DataFrame) ->
     return targets.join(own, "id", "left").select("label", "weight", F.coalesce("own.at", F.array().cast("array<int>")).alias("at"), F.coalesce("own.value", F.array().cast("array<double>")).alias("value"))
 
 
-def _risks(b: pd.DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Risk of each row of a batch; and row, position and value of all its entries."""
-    at = np.concatenate([*b["at"], np.zeros(0, np.int64)]).astype(np.int64)
-    value = np.concatenate([*b["value"], np.zeros(0)])
-    row = np.repeat(np.arange(len(b)), b["at"].str.len().to_numpy())
-    z = np.clip(np.bincount(row, value * w[at], len(b)) + w[-1], -60, 60)
-    return 2 / (1 + np.exp(-z)), row, at, value
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """label, row number of each entry, its position and value, of a batch of matrix rows."""
+    at, value = (batch.column(batch.schema.get_field_index(c)) for c in ("at", "value"))
+    sizes = np.diff(at.offsets.to_numpy())
+    first, last = at.offsets[0].as_py(), at.offsets[-1].as_py()
+    row = np.repeat(np.arange(len(batch)), sizes)
+    column = lambda a: a.values.slice(first, last - first).to_numpy(zero_copy_only=False)
+    return batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False), row, column(at).astype(np.int64), column(value)
+
+
+def _risks(row: np.ndarray, at: np.ndarray, value: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Risks of n rows under each weight vector (columns of w, the last row is the bias)."""
+    z = np.empty((n, w.shape[1]))
+    for k in range(w.shape[1]):
+        z[:, k] = np.bincount(row, value * w[at, k], n) + w[-1, k]
+    return 2 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def evaluate(matrix: DataFrame, w: np.ndarray, alpha: float, n: int) -> tuple[float, np.ndarray]:
-    """Loss and gradient at w (the last entry is the bias) by one pass: tasks sum up, Spark adds by position.
+def evaluate(matrix: DataFrame, w: np.ndarray, alphas: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Losses and gradients at all columns of w (the last row is the bias), each with its own alpha, by one pass.
 
-    The driver gets one row for each feature that occurs; the vocabulary bounds them.
+    A task sums its rows up into one block of features x columns. Blocks are added by the driver if they are
+    small; else they are cut into chunks of features, and each chunk is added up in a task.
     """
     shared = matrix.sparkSession.sparkContext.broadcast(w)
+    size, columns = w.shape
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        grad, loss = np.zeros(len(w)), 0.0
+        total = np.zeros((size + 1, columns))  # gradient, and the losses as the last row
         for b in batches:
-            risk, row, at, value = _risks(b, w)
-            gap, weight = risk - b["label"].to_numpy(), b["weight"].to_numpy()
-            loss += float((weight * gap * gap).sum()) / n
-            slope = 2 * weight * gap * risk * (1 - risk / 2) / n
-            grad += np.bincount(at, value * slope[row], len(w))
-            grad[-1] += slope.sum()
-        some = np.flatnonzero(grad)
-        yield pd.DataFrame({"at": np.append(some, -1), "x": np.append(grad[some], loss)})
-
-    got = matrix.mapInPandas(part, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-    grad, loss = np.zeros(len(w)), 0.0
-    for at, x in zip(got["at"], got["x"], strict=True):
-        if at < 0:
-            loss = x
-        else:
-            grad[at] = x
-    grad[:-1] += 2 * alpha * w[:-1]
-    return loss + alpha * float(w[:-1] @ w[:-1]), grad
-
-
-def minimise(matrix: DataFrame, size: int, alpha: float, n: int, rounds: int, memory: int = 8) -> np.ndarray:
-    """Limited-memory quasi-Newton steps from zero; every evaluation is a Spark job over the cached matrix."""
-    w = np.zeros(size)
-    loss, g = evaluate(matrix, w, alpha, n)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        d, coefs = g.copy(), []
-        for s, y in reversed(past):
-            a = s @ d / (y @ s)
-            coefs.append(a)
-            d -= a * y
-        if past:
-            d *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1])
-        for (s, y), a in zip(past, reversed(coefs), strict=True):
+            label, row, at, value = _entries(b)
+            weight = b.column(b.schema.get_field_index("weight")).to_numpy(zero_copy_only=False)
+            risk = _risks(row, at, value, w, len(b))
+            gap = risk - label[:, None]
+            total[-1] += (weight[:, None] * gap * gap).sum(axis=0) / n
+            slope = 2 * weight[:, None] * gap * risk * (1 - risk / 2) / n
+            for k in range(columns):
+                total[: size - 1, k] += np.bincount(at, value * slope[row, k], size - 1)
+            total[size - 1] += slope.sum(axis=0)
+        chunks = range(0, size + 1, CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([total[c : c + CHUNK].tobytes() for c in chunks], pa.binary())], names=["at", "x"])
+
+    def added(key, table: pa.Table) -> pa.Table:
+        return pa.table({"at": [key[0].as_py()], "x": [sum(np.frombuffer(x) for x in table["x"].to_pylist()).tobytes()]}, schema=pa.schema([("at", pa.int32()), ("x", pa.binary())]))
+
+    parts = matrix.mapInArrow(part, "at int, x binary")
+    if matrix.rdd.getNumPartitions() * w.nbytes > DIRECT_BYTES:
+        parts = parts.groupBy("at").applyInArrow(added, "at int, x binary")
+    total = np.zeros((size + 1, columns))
+    for r in parts.toArrow().to_pylist():
+        total[r["at"] : r["at"] + CHUNK] += np.frombuffer(r["x"]).reshape(-1, columns)
+    shared.unpersist()
+    gradient = total[:size]
+    gradient[:-1] += 2 * alphas * w[:-1]
+    return total[-1] + alphas * (w[:-1] ** 2).sum(axis=0), gradient
+
+
+@dataclass
+class Search:
+    """Limited-memory quasi-Newton steps of one alpha from zero, with a line search for a weak Wolfe point. ``trial`` is where the loss
+    is wanted next."""
+
+    w: np.ndarray
+    loss: float
+    gradient: np.ndarray
+    memory: int = 16
+    rounds: int = 0
+    past: list = field(default_factory=list)
+
+    def __post_init__(self):
+        self._aim()
+
+    def norm(self) -> float:
+        return float(np.sqrt(self.gradient @ self.gradient))
+
+    def _aim(self) -> None:
+        d, scales = self.gradient.copy(), []
+        for s, y in reversed(self.past):
+            scales.append(s @ d / (y @ s))
+            d -= scales[-1] * y
+        if self.past:
+            s, y = self.past[-1]
+            d *= s @ y / (y @ y)
+        for (s, y), a in zip(self.past, reversed(scales), strict=True):
             d += s * (a - y @ d / (y @ s))
-        step = 1.0 if past else min(1.0, 1.0 / max(1e-12, float(np.abs(g).sum())))
-        for _ in range(12):
-            new = w - step * d
-            new_loss, new_g = evaluate(matrix, new, alpha, n)
-            if new_loss <= loss - 1e-4 * step * float(g @ d):
-                break
-            step /= 2
-        else:
-            break
-        s, y = new - w, new_g - g
-        if s @ y > 1e-12:
-            past = [*past, (s, y)][-memory:]
-        done = loss - new_loss <= 1e-9 * max(1.0, abs(loss))
-        w, loss, g = new, new_loss, new_g
-        if done:
-            break
-    return w
-
-
-def fit(features: DataFrame, targets: DataFrame, alphas=ALPHAS, rounds: int = 500) -> tuple[DataFrame, DataFrame, float]:
-    """Coefficients (feature, coef; the bias as feature ""), the grid (alpha, mae), and the chosen alpha.
+        self.down, self.low, self.high = d, 0.0, np.inf
+        self.step = 1.0 if self.past else min(1.0, 1 / max(1e-300, float(np.abs(self.gradient).sum())))
+
+    @property
+    def trial(self) -> np.ndarray:
+        return self.w - self.step * self.down
+
+    def take(self, loss: float, gradient: np.ndarray) -> None:
+        slope = float(self.gradient @ self.down)
+        if self.high - self.low < 1e-12 * self.step:
+            pass  # rounding hides the difference; what there is, is taken
+        elif not loss <= self.loss - 1e-4 * self.step * slope:
+            self.high = self.step
+            self.step = (self.low + self.high) / 2
+            return
+        elif gradient @ self.down > 0.9 * slope:
+            self.low = self.step
+            self.step = 2 * self.step if self.high == np.inf else (self.low + self.high) / 2
+            return
+        s, y = self.trial - self.w, gradient - self.gradient
+        if s @ y > 1e-300:
+            self.past = [*self.past, (s, y)][-self.memory :]
+        self.w, self.loss, self.gradient, self.rounds = self.trial, loss, gradient, self.rounds + 1
+        self._aim()
+
+
+def minimise(matrix: DataFrame, size: int, alphas: tuple[float, ...], n: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[Search]:
+    """Each alpha's minimum. All alphas that aren't done share each pass over the matrix, one Spark job for all their trial points."""
+    zero = np.zeros((size, len(alphas)))
+    losses, gradients = evaluate(matrix, zero, np.array(alphas), n)
+    searches = [Search(zero[:, k], float(losses[k]), gradients[:, k]) for k in range(len(alphas))]
+    passes = 0
+    while passes < 3 * rounds and (active := [k for k, s in enumerate(searches) if s.norm() > tolerance and s.rounds < rounds]):
+        losses, gradients = evaluate(matrix, np.column_stack([searches[k].trial for k in active]), np.array(alphas)[active], n)
+        for i, k in enumerate(active):
+            searches[k].take(float(losses[i]), gradients[:, i])
+        passes += 1
+    return searches
+
+
+def fit(features: DataFrame, targets: DataFrame, alphas: tuple[float, ...] = ALPHAS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, float]:
+    """Coefficients (feature, coef; the bias as feature ""), the grid (alpha, mae, loss, gradient, rounds), and the chosen alpha.
 
     targets: id, label, weight, validation. The alpha of the least mean absolute error on validation
     rows wins, the first of equal ones.
@@ -153,36 +226,28 @@ def fit(features: DataFrame, targets: DataFrame, alphas=ALPHAS, rounds: int = 50
     spark = features.sparkSession
     names = numbered(features.select("feature").distinct()).persist()
     size = names.count() + 1
-    train, check = targets.where("not validation"), targets.where("validation")
-    matrix = rows_of_matrix(features, train, names).persist()
-    held = rows_of_matrix(features, check, names).persist()
+    matrix = rows_of_matrix(features, targets.where("not validation"), names).persist()
+    held = rows_of_matrix(features, targets.where("validation"), names)
     n = matrix.count()
-    grid, best = [], None
-    for alpha in alphas:
-        w = minimise(matrix, size, alpha, max(1, n), rounds)
-        shared = spark.sparkContext.broadcast(w)
-
-        def errors(batches, shared=shared):
-            w = shared.value
-            for b in batches:
-                yield pd.DataFrame({"e": np.abs(_risks(b, w)[0] - b["label"].to_numpy())})
-
-        mae = held.mapInPandas(errors, "e double").agg(F.avg("e")).first()[0]
-        mae = float("inf") if mae is None else mae
-        grid.append((float(alpha), float(mae)))
-        if best is None or mae < best[0]:
-            best = (mae, alpha, w)
-    rows = names.select("feature", "at").toPandas()
-    rows["coef"] = best[2][rows["at"].to_numpy()]
-    coef = spark.createDataFrame(rows[["feature", "coef"]], "feature string, coef double").unionByName(spark.createDataFrame([("", float(best[2][-1]))], "feature string, coef double"))
-    for df in (names, matrix, held):
-        df.unpersist()
-    return coef, spark.createDataFrame(grid, "alpha double, mae double"), best[1]
+    done = minimise(matrix, size, alphas, max(1, n), rounds, tolerance)
+    shared = spark.sparkContext.broadcast(np.column_stack([s.w for s in done]))
 
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label, row, at, value = _entries(b)
+            gap = np.abs(_risks(row, at, value, shared.value, len(b)) - label[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k in range(gap.shape[1])], pa.int32()), pa.array(gap.sum(axis=0)), pa.array([len(b)] * gap.shape[1], pa.int64())], names=["k", "e", "n"])
 
-def chosen_alpha(grid: DataFrame) -> DataFrame:
-    """The alpha of the least error; of equal errors the smallest alpha."""
-    return grid.agg(F.min(F.struct("mae", "alpha")).alias("m")).select("m.alpha", "m.mae")
+    sums = {r["k"]: r["e"] / r["n"] for r in held.mapInArrow(errors, "k int, e double, n bigint").groupBy("k").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where("n > 0").collect()}
+    mae = [sums.get(k, float("inf")) for k in range(len(alphas))]
+    best = min(range(len(alphas)), key=lambda k: mae[k])
+    rows = names.select("feature", "at").toPandas()
+    rows["coef"] = done[best].w[rows["at"].to_numpy()]
+    coef = spark.createDataFrame(rows[["feature", "coef"]], "feature string, coef double").unionByName(spark.createDataFrame([("", float(done[best].w[-1]))], "feature string, coef double"))
+    for df in (names, matrix):
+        df.unpersist()
+    grid = [(float(a), float(m), s.loss, s.norm(), s.rounds) for a, m, s in zip(alphas, mae, done, strict=True)]
+    return coef, spark.createDataFrame(grid, "alpha double, mae double, loss double, gradient double, rounds int"), alphas[best]
 
 
 # Thresholds. scores: truth (0, 1, 2), risk.
@@ -192,9 +257,12 @@ def prefix_counts(scores: DataFrame) -> DataFrame:
     """candidate, below_0, below_1, below_2, total_0, total_1, total_2.
 
     Candidates are the distinct scores, the midpoints between neighbours, and the largest plus 1. Counting by
-    score comes first; sorted scores are then dealt by blocks, and windows over blocks carry sums and neighbours across.
+    score comes first; distinct scores are then dealt to ranges by sampled bounds, so that scores that crowd at one end are
+    split as well, and windows over blocks carry sums and neighbours across.
     """
-    by = scores.groupBy("risk").agg(*[F.count_if(F.col("truth") == k).alias(f"n_{k}") for k in range(3)]).withColumn("block", F.floor(F.col("risk") * BLOCKS))
+    by = stored(scores.groupBy("risk").agg(*[F.count_if(F.col("truth") == k).alias(f"n_{k}") for k in range(3)]), "scores")
+    tasks = max(1, min(-(-by.count() // BLOCK_SCORES), 64 * by.sparkSession.sparkContext.defaultParallelism))
+    by = stored(by.repartitionByRange(tasks, "risk").withColumn("block", F.spark_partition_id()), "scores")
     over = Window.orderBy("block")
     sums = by.groupBy("block").agg(*[F.sum(f"n_{k}").alias(f"s_{k}") for k in range(3)], F.min("risk").alias("low"))
     before = over.rowsBetween(Window.unboundedPreceding, -1)

@@ -247,7 +247,9 @@ _SCORED = "scored as (select d.event_id, d.event_type, d.command, d.risk as labe
 
 def model(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """coef (gram, coef) of the log's n-grams and dense (name, coef, mean, std)."""
-    coef = S.pruned(grams(spark, sf_dir).select("gram").distinct().withColumn("coef", toy(F.col("gram"))))
+    # the distinct n-grams are written first: a filter on coefficients would else move below the grouping and cost a digest for each repeat
+    known = tables.stored(grams(spark, sf_dir).select("gram").distinct(), "grams")
+    coef = S.pruned(known.withColumn("coef", toy(F.col("gram"))))
     named = spec(spark, sf_dir).withColumn("coef", toy(F.concat(F.lit("d:"), "name")) / 10)
     return coef, named
 
@@ -276,11 +278,10 @@ def e01_e02_e08_scores(spark, sf_dir):
 _PARTS = f"parts as (select * from (select event_id, gram as feature, coef as weight from grams join coef using (gram) union all select event_id, feature, z * coef from z join dcoef on feature = name) where abs(weight) > {S.SHOWN})"
 
 
-@query(Q.with_ctes([*MODEL, _PARTS], f"select event_id, rank, round(abs(weight), 6) as size from (select *, row_number() over (partition by event_id order by abs(weight) desc, feature)::int as rank from parts) where rank <= {S.TOP}"))
+@query(Q.with_ctes([*MODEL, _PARTS], f"select event_id, rank, feature, round(weight, 6) as weight from (select *, row_number() over (partition by event_id order by abs(weight) desc, feature)::int as rank from parts) where rank <= {S.TOP}"))
 def e03_reasons(spark, sf_dir):
-    coef, named = model(spark, sf_dir)
-    parts = S.contributions(grams(spark, sf_dir), coef, z(spark, sf_dir), named, "event_id")
-    return S.explained(parts, "event_id").select("event_id", "rank", F.round(F.abs("weight"), 6).alias("size"))
+    coef, named, _ = stored_model(spark, sf_dir)
+    return S.explained(dense(spark, sf_dir), S.packed(coef), named, "event_id").select("event_id", "rank", "feature", F.round("weight", 6).alias("weight"))
 
 
 @query(Q.with_ctes([*GRAMS, _VOCAB], f"select gram, round({_TOY.format(x='gram')} * idf, 9) + 0.0 as coef from vocab where abs({_TOY.format(x='gram')} * idf) >= {S.PRUNE}"))
@@ -432,11 +433,18 @@ def e22_two_normalisers(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.count_if(~same).alias("differ"))
 
 
-@query(Q.with_ctes([*GRAMS, _COEF, "known_ as (select * from allcoef where coef > 0)"], "select event_id, count(coef) as known, count(*) filter (coef is null) as unknown, round(coalesce(sum(coef), 0), 6) as sparse from grams left join known_ using (gram) group by 1"))
+_TRACE = "known_ as (select * from allcoef where coef > 0)"
+_TOP_GRAMS = f"tops as (select event_id, string_agg(gram || '=' || round(coef * 5000)::int, chr(10) order by coef desc, gram) as top from (select event_id, gram, coef, row_number() over (partition by event_id order by coef desc, gram) as k from grams join known_ using (gram)) where k <= {S.TRACED} group by 1)"
+
+
+@query(Q.with_ctes([*GRAMS, _COEF, _TRACE, _TOP_GRAMS, "sums as (select event_id, count(coef) as known, count(*) filter (coef is null) as unknown, coalesce(sum(coef), 0) as sparse from grams left join known_ using (gram) group by 1)"], "select event_id, known, unknown, round(sparse, 6) as sparse, coalesce(top, '') as top from sums left join tops using (event_id)"))
 def e23_trace(spark, sf_dir):
-    g = grams(spark, sf_dir)
-    coef = g.select("gram").distinct().withColumn("coef", toy(F.col("gram"))).where("coef > 0")
-    return S.trace(g, coef, "event_id").withColumn("sparse", F.round("sparse", 6))
+    """N-grams that a model has and lacks, their sum and the ten largest with their names, for each command."""
+    known = tables.stored(grams(spark, sf_dir).select("gram").distinct(), "grams")
+    model = S.packed(known.withColumn("coef", toy(F.col("gram"))).where("coef > 0"))
+    rows = C.norm(spark, sf_dir).where("length(text) > 1").select("event_id", S.traced(spark, model, S.TRACED).alias("t"))
+    top = F.array_join(F.transform("t.top", lambda x: F.concat(x["feature"], F.lit("="), F.round(x["weight"] * 5000).cast("int").cast("string"))), "\n")
+    return rows.select("event_id", "t.known", "t.unknown", F.round("t.sparse", 6).alias("sparse"), top.alias("top"))
 
 
 @query(Q.with_ctes([*MODEL, _SCORED], f"select event_id, round(score, 6) as score, {_VERDICT} as verdict from scored"))

@@ -24,6 +24,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A scanned table with at least as many partitions as there are cores: a file of one row group, however costly its rows are,
     would be one task. Tables with enough splits stay as they are, without an exchange."""
