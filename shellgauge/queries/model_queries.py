@@ -113,12 +113,18 @@ def f09_matrix(spark, sf_dir):
 
 # Training.
 
-_SPLIT = "('0x' || substr(sha256('0|' || command), 1, 8))::bigint % 10000 < 1500"
+_SPLIT = [
+    *Q.log_ctes(),
+    "one as (select distinct command, risk::int as label from log)",
+    "placed as (select *, row_number() over (partition by label order by ('0x' || substr(sha256('0|' || command), 1, 13))::bigint) as k, count(*) over (partition by label) as n from one)",
+]
 
 
-@query(Q.with_ctes(Q.log_ctes(), f"select risk::int as label, {_SPLIT} as validation, count(*) as n from log group by 1, 2"))
+@query(Q.with_ctes(_SPLIT, f"select label, k <= floor({Tr.VALIDATION}::double * n + 0.5) as validation, count(*) as n, min(command) as low, max(command) as high from placed group by 1, 2"))
 def t01_split(spark, sf_dir):
-    return C.log(spark, sf_dir).groupBy(F.col("risk").alias("label"), Tr.in_validation(F.col("command")).alias("validation")).agg(F.count("*").alias("n"))
+    """The stratified split of the distinct commands: rows, least and largest command of each part."""
+    rows = Tr.stratified(C.log(spark, sf_dir).select("command", F.col("risk").alias("label")).distinct())
+    return rows.groupBy("label", "validation").agg(F.count("*").alias("n"), F.min("command").alias("low"), F.max("command").alias("high"))
 
 
 @query(Q.with_ctes(Q.log_ctes(), "select risk::int as label, round(sum(case risk when 1 then 0.7 else 1.0 end)::double, 6) as weight from log group by 1"))
@@ -161,23 +167,77 @@ def t03_gradient(spark, sf_dir):
     return _step(spark, sf_dir)[1].select("feature", (F.round("gradient", 7) + 0.0).alias("gradient"))
 
 
-def _training_tables(spark, sf_dir):
-    d = dense(spark, sf_dir)
-    feats = X.standardised(X.dense_long(d.select("event_id", *X.DENSE), "event_id"), X.standardiser(d)).select(F.col("event_id").alias("id"), F.concat(F.lit("d:"), "feature").alias("feature"), F.col("z").alias("value"))
-    targets = d.select(F.col("event_id").alias("id"), F.col("risk").cast("double").alias("label"), Tr.ambiguity_weight(F.col("risk")).alias("weight"), Tr.in_validation(F.col("command")).alias("validation"))
-    return feats, targets
+_fitted: dict[tuple[str, str], str] = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> str:
+    """Where the model of a log is stored: split, vocabulary, spread, fit of the grid, folding and thresholds. An application fits a log once.
+
+    Rows are the distinct normalised commands with their labels. Vocabulary, idf and spread come from the training
+    part only; thresholds from the validation part's scores by the folded model.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _fitted:
+        return _fitted[key]
+    rows = C.norm(spark, sf_dir).select("text", "unquoted", "segments", F.col("risk").alias("label")).dropDuplicates(["text", "unquoted", "label"])
+    rows = Tr.stratified(rows.withColumn("id", F.md5(F.concat_ws("\n", "text", "unquoted", F.col("label").cast("string")))), command="text")
+    rows = tables.stored(X.dense(rows), "rows")
+    train = rows.where("not validation")
+    long = X.gram_table(train, "id")
+    vocab = tables.stored(X.vocabulary(long, train.count()), "vocabulary")
+    spread = tables.stored(X.standardiser(train), "spread")
+    z = X.standardised(X.dense_long(rows.select("id", *X.DENSE), "id"), spread).select("id", "feature", "z")
+    feats = tables.stored(X.matrix(X.gram_table(rows, "id"), vocab, z, "id"), "matrix")
+    targets = rows.select("id", F.col("label").cast("double").alias("label"), Tr.ambiguity_weight(F.col("label")).alias("weight"), "validation")
+    coef, grid, alpha = Tr.fit(feats, targets)
+    words = coef.where("startswith(feature, 'g:')").select(F.expr("substring(feature, 3)").alias("gram"), F.col("coef").alias("weight"))
+    grams_ = S.folded(words, vocab)
+    dense_ = spread.join(coef.select(F.expr("substring(feature, 3)").alias("name"), "coef", "feature").where("startswith(feature, 'd:')").drop("feature"), "name").select("name", "coef", "mean", "std")
+    bias = coef.where("feature = ''").first()["coef"]
+    held = S.score(rows.where("validation").withColumn("truth", F.col("label")), S.prepared(grams_, dense_), bias, "id").select("truth", "risk")
+    two = Tr.thresholds(held).first()
+    path = tables.shared_path(spark, "fitted")
+    meta = spark.createDataFrame([(bias, two["warn"], two["block"], alpha)], "bias double, warn double, block double, alpha double")
+    tables.write_model(path, S.pruned(grams_), dense_, meta)
+    sizes = targets.agg(F.count_if("validation").alias("val_size"))
+    counts = coef.agg(F.count_if(F.expr("startswith(feature, 'g:')")).alias("sparse_features"), F.count_if(F.expr("startswith(feature, 'd:')")).alias("dense_features"))
+    grid.crossJoin(sizes).crossJoin(counts).withColumn("chosen", F.col("alpha") == alpha).write.parquet(f"{path}/grid")
+    _fitted[key] = path
+    return path
 
 
 @query()
 def t04_t05_t12_fit(spark, sf_dir):
-    """The grid of all alphas over n-grams and dense features; a few rounds of the fit (iterative: no SQL)."""
-    feats, targets = _training_tables(spark, sf_dir)
-    long = grams(spark, sf_dir)
-    vocab = X.vocabulary(long, C.norm(spark, sf_dir).count())
-    words = long.join(vocab, "gram").select(F.col("event_id").alias("id"), F.concat(F.lit("g:"), "gram").alias("feature"), F.col("idf").alias("value"))
-    coef, grid, alpha = Tr.fit(feats.unionByName(words), targets, rounds=3)
-    sizes = targets.agg(F.count_if("validation").alias("val_size")).crossJoin(coef.agg(F.count("*").alias("coefficients")))
-    return grid.withColumn("chosen", F.col("alpha") == alpha).crossJoin(sizes)
+    """The grid of the fit (iterative: no SQL): error, loss and whether the gradient has gone, for each alpha, and the training report's counts."""
+    grid = spark.read.parquet(f"{fitted(spark, sf_dir)}/grid")
+    return grid.select("alpha", F.round("mae", 4).alias("val_mae"), F.round("loss", 6).alias("loss"), (F.col("gradient") <= Tr.TOLERANCE).alias("converged"), "chosen", "val_size", "sparse_features", "dense_features")
+
+
+def fitted_scores(spark, sf_dir, df: DataFrame, key: str) -> DataFrame:
+    """The columns of a table of commands (with column command), risk and verdict, by the fitted model."""
+    coef, named, meta = tables.read_model(spark, fitted(spark, sf_dir))
+    m = meta.first()
+    ready = X.dense(N.normalize_commands(df)).drop("segments", "dropped_non_ascii")
+    out = S.score(ready, S.prepared(coef, named), m["bias"], key).drop("text", "unquoted")
+    return out.withColumn("verdict", S.decided(F.col("risk"), m["warn"], m["block"]))
+
+
+@query()
+def e08_fitted_scores(spark, sf_dir):
+    """Log, fit, thresholds, scores: the log by event type, label and the fitted model's verdict."""
+    rows = C.log(spark, sf_dir).select("event_id", "event_type", "command", F.col("risk").alias("label"))
+    return fitted_scores(spark, sf_dir, rows, "event_id").groupBy("event_type", "label", "verdict").agg(F.count("*").alias("n"), F.round(F.min("risk"), 3).alias("low"), F.round(F.max("risk"), 3).alias("high"))
+
+
+@query()
+def e18_fitted_holdout(spark, sf_dir):
+    """Recall of the fitted model on the destructive and risky commands of all six holdout families, at the warn threshold."""
+    rows = C.log(spark, sf_dir).select("event_id", "command", F.col("risk").alias("truth"))
+    made = T.variants(rows, T.HOLDOUT).select("event_id", "family", "truth", F.col("variant").alias("command"))
+    warn = tables.read_model(spark, fitted(spark, sf_dir))[2].first()["warn"]
+    scored = fitted_scores(spark, sf_dir, made, "event_id").withColumn("group_", F.concat_ws(":", "family", "truth"))
+    both = E.recall_by(scored, "group_", 2, warn).unionByName(E.recall_by(scored, "group_", 1, warn))
+    return both.select(F.split("group_", ":")[0].alias("family"), F.split("group_", ":")[1].cast("int").alias("truth"), "n", F.round("recall", 4).alias("recall"), "weak")
 
 
 # Scores with a known truth: labels of documents, and a made risk.
@@ -377,7 +437,7 @@ def e17_risky_recall(spark, sf_dir):
     return E.recall_by(scores(spark, sf_dir), "category", 1, _WARN).withColumn("recall", F.round("recall", 9))
 
 
-_HOLD = [*Q.log_ctes(), C._variants_sql({k: C.HOLDOUT_SQL[k] for k in ("nbsp", "eval")}, "event_id, risk"), f"g as (select family, risk, {Q.grade('variant')[0]} as graded from variants)"]
+_HOLD = [*Q.log_ctes(), C._variants_sql(C.HOLDOUT_SQL, "event_id, risk"), f"g as (select family, risk, {Q.grade('variant')[0]} as graded from variants)"]
 
 
 @query(Q.with_ctes(_HOLD, "select family, count(*) as n, round(avg((graded >= 1)::int), 9) as recall, avg((graded >= 1)::int) < 0.5 as weak from g where risk = 2 group by 1"))
@@ -385,7 +445,7 @@ def e18_holdout_recall(spark, sf_dir):
     """Share of destructive commands that the grader still finds, by holdout family."""
     from ..functions import grader as G
 
-    held = T.variants(C.log(spark, sf_dir), T.HOLDOUT, ["nbsp", "eval"]).select("family", F.col("risk").alias("truth"), "variant")
+    held = T.variants(C.log(spark, sf_dir), T.HOLDOUT).select("family", F.col("risk").alias("truth"), "variant")
     graded = G.graded(held, "variant").withColumn("risk", F.col("graded").cast("double"))
     return E.recall_by(graded, "family", 2, 1.0).withColumn("recall", F.round("recall", 9))
 
