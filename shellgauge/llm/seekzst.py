@@ -46,7 +46,7 @@ CHECKSUMS = 0x80
 _entry, _document = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")]), np.dtype([("key", "<i8"), ("known", "u1"), ("frames", "<u4"), ("ids", "<u8")])
 
 #: Memory, in bytes, for the words that a worker remembers, and about what one takes. Longer words than LONG_WORD aren't remembered.
-WORD_MEMORY, ENTRY, LONG_WORD = 112 << 20, 220, 100
+WORD_MEMORY, ENTRY, LONG_WORD = 240 << 20, 220, 100
 #: Characters that the tokenizer treats alone and as Python does: printable ASCII, Latin letters with one lower case, and white space.
 SAFE = r"[\x20-\x7E\n\r\t\xC0-\xFFĀ-įĲ-ňŊ-ž]*"
 
