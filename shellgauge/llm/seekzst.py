@@ -148,7 +148,7 @@ def checksum(data: bytes) -> int:
 class Writer:
     """One file. stream has write(bytes)."""
 
-    def __init__(self, stream, level: int = 3):
+    def __init__(self, stream, level: int = 1):
         import zstandard
 
         self.stream = stream
