@@ -57,6 +57,12 @@ RULES = (
     (24, "kill_everything", "{what}", {"what": ("kill -9 -1", "killall -9 java", "pkill -f python")}, 60),
     (25, "memory_exhaustion", "stress --vm {n} --vm-bytes {size}", {"n": ("4", "16"), "size": ("2G", "90%")}, 60),
     (26, "memory_exhaustion", "head -c {size} /dev/zero | tail", {"size": ("8G", "64G")}, 60),
+    (27, "filesystem_format", "{tool} {flag} /dev/{disk}", {"tool": ("mkfs.xfs", "mkfs.btrfs", "mkswap"), "flag": ("-f", "-L data"), "disk": ("sdb1", "nvme1n1p2", "vdb")}, 60),
+    (28, "log_tampering", "{what} {log}", {"what": ("truncate -s 0", "cat /dev/null >", "shred -u", ": >"), "log": ("/var/log/auth.log", "/var/log/syslog", "/var/log/wtmp", "app.log")}, 60),
+    (29, "recursive_ownership_change", "chown -R {who} {dir}", {"who": ("nobody", "www-data:www-data", "root:root"), "dir": ("/etc", "/var", "/home", "/usr/local")}, 60),
+    (30, "permission_world_writable", "chmod {flag} {mode} {dir}", {"flag": ("-R", "-v"), "mode": ("777", "a+rwx", "0777"), "dir": ("/srv", "/opt/app", "/var/www", ".")}, 60),
+    (31, "raw_disk_write", "dd {args}", {"args": ("if=/dev/zero of=/dev/null count=1; dd if=/dev/zero of=/dev/sdz count=1", "of=/dev/sdz of=/dev/null if=seed.img", "of=/dev/null of=/dev/sdz if=seed.img")}, 60),
+    (32, "encoded_payload_execution", "print(f[{x}]) | {sh}", {"x": ("(a)", "{(b)}"), "sh": ("sh", "bash")}, 60),
 )
 SAFE_RULES = (
     (101, "", "rm -rf {dir}", {"dir": ("node_modules", "build/", "dist/", "target/", "__pycache__", ".pytest_cache", "coverage", ".venv")}, 60),
@@ -75,10 +81,31 @@ SAFE_RULES = (
     (114, "", "chmod {mode} {file}", {"mode": ("644", "+x", "600"), "file": ("run.sh", "~/.ssh/config")}, 60),
     (115, "", "ssh {host} {cmd}", {"host": ("web1", "deploy@db2"), "cmd": ("uptime", "df -h", "tail -n 100 app.log")}, 60),
     (116, "", "kubectl get {what} -n {ns}", {"what": ("pods", "svc", "events"), "ns": ("default", "prod")}, 60),
+    (117, "", "{tool} --version", {"tool": ("git", "docker", "kubectl", "terraform", "node", "psql", "ffmpeg", "rsync")}, 60),
+    (118, "", "{tool} --help | less", {"tool": ("dd", "mkfs.ext4", "shred", "fdisk", "parted", "chown", "pkill")}, 60),
+    (119, "", "man {page}", {"page": ("rm", "dd", "shred", "mkfs", "kill", "fork", "truncate", "reboot")}, 60),
+    (120, "", "mkdir -p {dir}", {"dir": ("build/out", "~/notes/2024", "/srv/site/static", "logs/archive")}, 60),
+    (121, "", "cp -{flag} {from} {to}", {"flag": ("a", "r", "v"), "from": ("src", "notes.txt", "conf.d"), "to": ("backup/", "../copy", "~/old")}, 60),
+    (122, "", "rsync -a{flag} {from} {to}", {"flag": ("v", "z", "n"), "from": ("src/", "photos/"), "to": ("backup:/srv/copy", "/mnt/usb/copy")}, 60),
+    (123, "", "sed -n '{expr}' {file}", {"expr": ("1,20p", "/error/p", "$p"), "file": ("app.log", "config.yml", "README.md")}, 60),
+    (124, "", "awk '{expr}' {file}", {"expr": ("{print $1}", "NR % 2 == 0", "length > 80"), "file": ("access.log", "table.tsv")}, 60),
+    (125, "", "sort {flag} {file} | uniq -c", {"flag": ("-n", "-r", "-k2"), "file": ("words.txt", "ids.csv", "hits.log")}, 60),
+    (126, "", "psql -c \"{what}\" {db}", {"what": ("select count(*) from users", "explain select 1", "show tables"), "db": ("shop", "metrics")}, 60),
+    (127, "", "systemctl {what} {unit}", {"what": ("status", "is-active", "cat"), "unit": ("nginx", "sshd", "cron", "docker")}, 60),
+    (128, "", "journalctl -u {unit} --since {when}", {"unit": ("nginx", "sshd", "kubelet"), "when": ("today", "yesterday", "'1 hour ago'")}, 60),
+    (129, "", "terraform {what}", {"what": ("init", "plan -out plan.bin", "validate", "fmt -check", "show plan.bin")}, 60),
+    (130, "", "cargo {what}", {"what": ("test --all", "clippy", "fmt", "build --release", "doc --no-deps")}, 60),
+    (131, "", "ping -c {n} {host}", {"n": ("1", "4"), "host": ("web1", "db2.example.org", "192.0.2.7")}, 60),
+    (132, "", "du -{flag} {dir} | sort -h", {"flag": ("sh", "ah"), "dir": ("/var/log", "~/Downloads", ".")}, 60),
+    (133, "", "echo '{what}' >> {file}", {"what": ("rm -rf / is never right", "see man shred", "mkfs erases a disk"), "file": ("notes.md", "docs/danger.txt")}, 60),
 )
 #: Curated safe commands by source.
 CURATED = {
     "routine": ("pwd", "whoami", "df -h", "du -sh .", "uptime", "free -m", "top -b -n 1", "history | tail -20", "which python3", "make -j4", "cargo build --release", "go test ./...", "systemctl status nginx", "crontab -l", "date -u"),
     "boundary": ("kill 4242", "shutdown --help", "sudo apt-get update", "truncate --help", "dd --version", "mkfs.ext4 -V", "git push origin main", "rm old.txt"),
     "mention": ("man rm", "info dd", "apropos mkfs", "whatis shutdown", "echo rm -rf / is dangerous", "grep -n 'chmod 777' setup.sh"),
-}
+    "review": (
+        "dd if=/dev/zero of=/dev/null", "dd if=a.img of=/dev/zero | dd of=b.img", "python3 -c print(f(g(h(k(eval(1)))))) && ls",
+        "node -p console.log([{a:(b)},eval(2)]); pwd", "print (a) print(b[eval(c)]) ls", "printf (never closed [ eval it",
+    ),
+}

@@ -80,9 +80,11 @@ def s06_plain_commands(spark, sf_dir):
 
 @query(Q.with_ctes([*LOG, Q.audit_cte("log")], "select event_id, command from audited where rule is null"))
 def s07_gated_rows(spark, sf_dir):
-    """What the gate lets through once the rejected rows are taken out."""
+    """The log without its rejected rows, written through the gate and read again."""
     good = A.audit(log(spark, sf_dir)).where("rule is null").select("event_id", "command")
-    return good
+    path = Tab.shared_path(spark, "gated")
+    A.write_gated(good, path)
+    return spark.read.schema(good.schema).parquet(path)
 
 
 @query(Q.with_ctes(LOG, "select command, risk::int as label, category, source, '' as section, '' as transform, count(*) as n from log group by all"))
@@ -358,7 +360,7 @@ def b08_audit(spark, sf_dir):
     return A.audit(log(spark, sf_dir)).select("event_id", "rule", "display_only")
 
 
-@query(Q.with_ctes([*LOG, Q.audit_cte("log")], "select 'total' as name, count(*) as n from audited union all select 'accepted', count(*) filter (rule is null) from audited union all select 'display_only', count(*) filter (display_only) from audited union all select 'rejected:' || rule, count(*) from audited where rule is not null group by rule"))
+@query(Q.with_ctes([*LOG, Q.audit_cte("log")], "select 'total' as name, count(*) as n from audited union all select 'accepted', count(*) filter (rule is null) from audited union all select 'display_only', count(*) filter (display_only) from audited union all select 'echo_or_search', count(*) filter (regexp_matches(command, " + Q.lit(A.ECHO_OR_SEARCH) + ") and not regexp_matches(command, " + Q.lit(A.BARE_ECHO) + ")) from audited union all select 'rejected:' || rule, count(*) from audited where rule is not null group by rule"))
 def b09_audit_statistics(spark, sf_dir):
     return A.statistics(A.audit(log(spark, sf_dir)))
 

@@ -144,15 +144,32 @@ def dense_cte(table: str = "norm", name: str = "dense") -> str:
     return f"{name} as (select * exclude (target), {', '.join(f'{e} as {n}' for n, e in dense_columns().items())} from (select *, {target} as target from {table}))"
 
 
+def without_prints(c: str) -> str:
+    """Bracket depth as a running state over tokens, in a list that is reduced."""
+    mark = f"chr({ord(A.MARK)})"
+    tokens = f"regexp_extract_all(regexp_replace(replace({c}, {mark}, ''), {lit(A.PRINT)}, {mark}, 'g'), {lit(A.TOKENS)})"
+    states = f"list_prepend({{'o': '', 'd': 0, 't': ''}}, list_transform({tokens}, lambda t: {{'o': '', 'd': 0, 't': t}}))"
+    inside = f"(a.d > 0 or b.t = {mark})"
+    depth = f"case when {inside} then a.d + case when b.t in ({mark}, '(', '[', '{{') then 1 when b.t in (')', ']', '}}') then -1 else 0 end else 0 end"
+    cut = f"list_reduce({states}, lambda a, b: {{'o': case when {inside} then a.o else a.o || b.t end, 'd': {depth}, 't': ''}}).o"
+    return f"case when {matches(c, A.PRINT)} then {cut} else {c} end"
+
+
 def audit_cte(table: str, column: str = "command", name: str = "audited") -> str:
     shows = f"{matches(column, A.DISPLAY)} and not {matches(column, A.PIPE_OUT)} and not {matches(column, A.REDIRECT_OUT)}"
-    plain = f"regexp_replace(regexp_replace({column}, {lit(A.PRINT)}, ' ', 'g'), {lit(A.QUOTED)}, ' ', 'g')"
+    plain = f"regexp_replace({without_prints(column)}, {lit(A.QUOTED)}, ' ', 'g')"
     whens = []
     for n, p in A.RULES:
-        fires = matches(column if n in A.RAW else "plain", p)
-        if n == "redirect_into_system_path":
-            device = f"regexp_extract(plain, {lit(A.DD_OUT)}, 1)"
-            fires = f"({fires} or ({device} <> '' and not {matches(device, A.HARMLESS_DEVICES)}))"
+        c = column if n in A.RAW else "plain"
+        # RE2 has no look-ahead: the dd half of the rule goes through all targets of all dd segments instead
+        simple, _, dd = p.partition(r"|\bdd\b[^;|&]*")
+        fires = matches(c, simple)
+        if "(?!" in dd:
+            of, _, harmless = dd.partition("(?!")
+            every = f"(list_transform(regexp_extract_all({c}, {lit(r'\bdd\b[^;|&]*')}), lambda s: string_split_regex(s, {lit(of)})[2:]))"
+            fires = f"({fires} or len(list_filter(flatten({every}), lambda t: {matches('t', '^[a-z]')} and not {matches('t', '^(?:' + harmless.partition(')')[0] + ')')})) > 0)"
+        elif dd:
+            fires = matches(c, p)
         whens.append(f"when {fires} then '{n}'")
     return f"{name} as (select * exclude (plain), case when display_only then null {' '.join(whens)} end as rule from (select *, {plain} as plain, {shows} as display_only from {table}))"
 
