@@ -134,7 +134,7 @@ def evaluate(matrix: DataFrame, w: np.ndarray, alphas: np.ndarray, n: int) -> tu
         chunks = range(0, size + 1, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([total[c : c + CHUNK].tobytes() for c in chunks], pa.binary())], names=["at", "x"])
 
-    def added(key, table: pa.Table) -> pa.Table:
+    def added(key, table):
         return pa.table({"at": [key[0].as_py()], "x": [sum(np.frombuffer(x) for x in table["x"].to_pylist()).tobytes()]}, schema=pa.schema([("at", pa.int32()), ("x", pa.binary())]))
 
     parts = matrix.mapInArrow(part, "at int, x binary")

@@ -81,8 +81,8 @@ def test_audit_and_gate(spark):
     got = {r["command"]: r["rule"] for r in A.audit(commands(spark, good + [*bad])).collect()}
     assert got == dict.fromkeys(good) | bad
     assert A.gated(commands(spark, good)).count() == 3
-    with pytest.raises(A.Rejected):
-        A.gated(commands(spark, [*bad]))
+    with pytest.raises(Exception, match="rejected by"):
+        A.gated(commands(spark, [*bad])).count()
 
 
 def test_seed_files(spark, tmp_path, monkeypatch):
