@@ -22,6 +22,8 @@ NO_DATA = (1.0, 3.0)
 ALPHAS = (0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
 #: Distinct scores of a block, about, by which sorted scores are dealt out to tasks.
 BLOCK_SCORES = 20_000
+#: Features whose names or coefficients are broadcast up to this many (about 60 bytes each).
+BROADCAST_NAMES = 1_000_000
 #: The fit ends where no gradient's norm is above TOLERANCE, or after ROUNDS steps.
 TOLERANCE, ROUNDS = 1e-6, 500
 #: Gradients of tasks are added by the driver up to so many bytes, else by CHUNK features in tasks of their own.
@@ -63,6 +65,8 @@ def loss_and_gradient(features: DataFrame, targets: DataFrame, coef: DataFrame,
 
     features: id, feature, value; targets: id, label, weight; coef: feature, coef.
     """
+    # a dense feature has all rows: its key must not be dealt to one task while the coefficients are few
+    coef = F.broadcast(coef) if coef.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else coef
     margin = features.join(coef, "feature").groupBy("id").agg(F.sum(F.col("value") * F.col("coef")).alias("m"))
     risk = risk_of(F.coalesce("m", F.lit(0.0)) + bias)
     rows = targets.join(margin, "id", "left").select("id", "label", "weight", risk.alias("risk"))
@@ -87,6 +91,7 @@ def numbered(names: DataFrame) -> DataFrame:
 
 def rows_of_matrix(features: DataFrame, targets: DataFrame, names: DataFrame) -> DataFrame:
     """label, weight, at (positions of features), value: a row of the matrix for each target; names: feature, at."""
+    names = F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
     own = features.join(names, "feature").groupBy("id").agg(F.collect_list(F.struct("at", "value")).alias("own"))
     return targets.join(own, "id", "left").select("label", "weight", F.coalesce("own.at", F.array().cast("array<int>")).alias("at"), F.coalesce("own.value", F.array().cast("array<double>")).alias("value"))
 

@@ -45,6 +45,14 @@ def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).select(F.concat(F.lit("list"), (F.floor(k / 2000)).cast("string")).alias("path"), (k % 2000).cast("int").alias("line"), value.alias("value"))
 
 
+def read_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's lines as text files, read again by the reader; lines count from 0 here."""
+    folder = Tab.shared_path(spark, "lists")
+    S.write_lines(seed_lines(spark, sf_dir), folder)
+    lines = S.read_lines(spark, folder).withColumn("path", F.regexp_extract("path", "path=([^/]+)/", 1))
+    return lines.withColumn("line", F.col("line") - 1)
+
+
 _SECTION = "case " + " ".join(f"when contains(upper(h), '{w}') then '{n}'" for w, n in S.SECTIONS) + " else 'other:' || trim(h) end"
 SEED = [
     *LOG,
@@ -60,7 +68,8 @@ SEED = [
 
 @query(Q.with_ctes(SEED, "select path, line, section, command, label_text, label::int as label from parsed"))
 def s01_s02_seed_lines(spark, sf_dir):
-    return S.parse_seed(seed_lines(spark, sf_dir))
+    """Command lists as text files, one for each 2000 events, through the reader."""
+    return S.parse_seed(read_seed(spark, sf_dir))
 
 
 @query(Q.with_ctes(SEED, "select path, line, label_text from parsed where label is null and label_text is not null"))
@@ -89,14 +98,12 @@ def s07_gated_rows(spark, sf_dir):
 
 @query(Q.with_ctes(LOG, "select command, risk::int as label, category, source, '' as section, '' as transform, count(*) as n from log group by all"))
 def s08_s09_corpus_file(spark, sf_dir):
-    """Corpus rows as they are after a CSV file: written and read by Spark's own CSV expressions."""
-    name = F.coalesce(*[F.when(F.col("risk") == v, k) for k, v in Tab.LABEL_NAMES.items()])
-    rows = log(spark, sf_dir).select("command", name.alias("label"), "category", "source", F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("transform"))
-    opts = {"escape": '"', "emptyValue": ""}
-    parsed = rows.select(F.from_csv(F.to_csv(F.struct(*rows.columns), opts), Tab.CORPUS, opts).alias("r")).select("r.*").fillna("", ["category"])
-    return Tab.labelled(parsed).groupBy("command", "label", "category", "source", "section", "transform").agg(F.count("*").alias("n"))
-
-
+    """Corpus rows written as CSV files and read again."""
+    rows = log(spark, sf_dir).select("command", F.col("risk").alias("label"), "category", "source", F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("transform"))
+    path = Tab.shared_path(spark, "corpus")
+    Tab.write_corpus(rows, path)
+    read = Tab.read_corpus(spark, path).fillna("", ["category"])
+    return read.groupBy("command", "label", "category", "source", "section", "transform").agg(F.count("*").alias("n"))
 
 
 @query(Q.with_ctes(LOG, "select l.rule_id, count(*) as uses, count(distinct l.command) as commands from (select f.rule_id, log.command from log join (select rule_id, command from firsts where k = 1) f on f.command = log.command) l group by 1"))
@@ -355,6 +362,14 @@ def b07_statistics(spark, sf_dir):
     return C.statistics(corpus(spark, sf_dir))
 
 
+@query(SQL["b07_statistics"])
+def s10_dataset_report(spark, sf_dir):
+    """The corpus statistics as the report file has them."""
+    path = Tab.shared_path(spark, "report")
+    Tab.write_report(b07_statistics(spark, sf_dir), path)
+    return spark.read.schema("kind string, key string, label int, n bigint").json(path)
+
+
 @query(Q.with_ctes([*LOG, Q.audit_cte("log")], "select event_id, rule, display_only from audited"))
 def b08_audit(spark, sf_dir):
     return A.audit(log(spark, sf_dir)).select("event_id", "rule", "display_only")
@@ -377,7 +392,7 @@ def b10_top_categories(spark, sf_dir):
 
 _LEAKS = [
     *LOG,
-    _variants_sql({k: HOLDOUT_SQL[k] for k in ("zero_width", "nbsp", "eval")}, "event_id"),
+    _variants_sql(HOLDOUT_SQL, "event_id"),
     Q.norm_cte("log", name="train"),
     "hold0 as (select event_id, family, replace(replace(variant, chr(8203), ''), chr(160), ' ') as v from variants)",
     Q.norm_cte("hold0", "v", name="hold"),
@@ -387,7 +402,7 @@ _LEAKS = [
 @query(Q.with_ctes(_LEAKS, "select family, count(*) as n, count(distinct event_id) as events from hold where text in (select text from train) group by 1"))
 def b11_leaks(spark, sf_dir):
     """Holdout rows that normalise to a training row: invisible and no-break spaces always do."""
-    held = T.variants(log(spark, sf_dir), T.HOLDOUT, ["zero_width", "nbsp", "eval"]).select("event_id", "family", "variant")
+    held = T.variants(log(spark, sf_dir), T.HOLDOUT).select("event_id", "family", "variant")
     held = N.normalize_commands(held, "variant").select("event_id", "family", "text")
     return C.leaks(held, norm(spark, sf_dir)).groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
 

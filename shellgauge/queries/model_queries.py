@@ -351,9 +351,12 @@ def e04_e05_folded_pruned(spark, sf_dir):
     return S.pruned(S.folded(weights, vocab)).select("gram", (F.round("coef", 9) + 0.0).alias("coef"))
 
 
-@query(Q.with_ctes(NORM, "select count(distinct command) as n, true as ok from norm"))
+_FOLD = [*GRAMS, _VOCAB, "one as (select command, min(event_id) as event_id from norm group by 1)", f"risks as (select command, sum({_TOY.format(x='gram')} * idf) as risk from one join grams using (event_id) join vocab using (gram) group by 1)"]
+
+
+@query(Q.with_ctes(_FOLD, "select count(distinct command) as n, (select round(sum(risk), 3) from risks) as total, true as ok from norm"))
 def e06_fold_check(spark, sf_dir):
-    """Scores by weight and idf against scores by folded coefficients."""
+    """Scores by weight and idf, and whether scores by folded coefficients agree with them."""
     g = C.norm(spark, sf_dir).select("command", "text", "unquoted").dropDuplicates(["command"])
     long = X.gram_table(g, "command")
     vocab = X.vocabulary(grams(spark, sf_dir), C.norm(spark, sf_dir).count())
@@ -362,7 +365,7 @@ def e06_fold_check(spark, sf_dir):
     folded = long.join(S.folded(weights, vocab), "gram").groupBy("command").agg(F.sum("coef").alias("risk"))
     every = g.select("command")
     fill = lambda d: every.join(d, "command", "left").fillna(0.0, ["risk"])
-    return S.parity(fill(plain), fill(folded), S.FOLD_TOLERANCE).select("n", "ok")
+    return S.parity(fill(plain), fill(folded), S.FOLD_TOLERANCE).select("n", "ok").crossJoin(plain.agg(F.round(F.sum("risk"), 3).alias("total")))
 
 
 @query(Q.with_ctes(GRAMS, "select event_type, sum(n)::bigint as features, max(n) as most from (select event_id, count(*) as n from grams group by 1) join log using (event_id) group by 1"))
@@ -407,6 +410,27 @@ def e11_e12_confusion(spark, sf_dir):
     return out.select(*[F.round(c, 9).alias(c) if c.endswith(("recall", "precision")) else F.col(c) for c in out.columns])
 
 
+@query(SQL["e11_e12_confusion"])
+def s10_evaluation_report(spark, sf_dir):
+    """The confusion at two thresholds as the report file has it."""
+    path = tables.shared_path(spark, "report")
+    out = e11_e12_confusion(spark, sf_dir)
+    tables.write_report(out, path)
+    return spark.read.schema(out.schema).json(path)
+
+
+@query()
+def s10_training_report(spark, sf_dir):
+    """The training report of the fitted model: metrics of the chosen alpha and the two thresholds, as its file has them."""
+    place = fitted(spark, sf_dir)
+    meta = tables.read_model(spark, place)[2].select("warn", "block")
+    chosen = spark.read.parquet(f"{place}/grid").where("chosen").select("alpha", F.round("mae", 4).alias("val_mae"), "val_size", "sparse_features", "dense_features")
+    out = chosen.crossJoin(meta)
+    path = tables.shared_path(spark, "report")
+    tables.write_report(out, path)
+    return spark.read.schema(out.schema).json(path)
+
+
 @query(Q.with_ctes(SCORES, "select truth::int as truth, count(*) as n, min(risk) as low, round(quantile_cont(risk, 0.5), 6) as p50, round(quantile_cont(risk, 0.9), 6) as p90, round(quantile_cont(risk, 0.99), 6) as p99, max(risk) as high from scores group by 1"))
 def e13_ranges(spark, sf_dir):
     out = E.ranges(scores(spark, sf_dir))
@@ -484,13 +508,13 @@ def e21_gram_overlap(spark, sf_dir):
     return _gram_sets(spark, sf_dir).select("event_id", F.round(F.size(F.array_intersect("g", "h")) / F.greatest(F.lit(1), F.size("g")), 9).alias("overlap"))
 
 
-@query("select count(*) as n, 0::bigint as differ from conversations")
+@query(Q.with_ctes([Q.norm_cte("turns", "command", latin=True).replace("from turns", "from (select conv_id, turn, coalesce(text, '') as command from conversations)")], "select conv_id, turn, md5(text) as text_md5, md5(unquoted) as unquoted_md5, len(segments)::int as n_segments, true as same from norm"))
 def e22_two_normalisers(spark, sf_dir):
-    """The built-in expressions against the pandas UDF, over all conversation turns."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.coalesce("text", F.lit("")).alias("command"))
+    """The pandas UDF's results, and whether the built-in expressions agree with them, over all conversation turns."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("command"))
     both = N.normalize_commands(turns).withColumn("other", N.exact("command"))
     same = F.expr("text <=> other.text and unquoted <=> other.unquoted and segments <=> other.segments and dropped_non_ascii <=> other.dropped_non_ascii")
-    return both.agg(F.count("*").alias("n"), F.count_if(~same).alias("differ"))
+    return both.select("conv_id", "turn", F.md5("other.text").alias("text_md5"), F.md5("other.unquoted").alias("unquoted_md5"), F.size("other.segments").alias("n_segments"), same.alias("same"))
 
 
 _TRACE = "known_ as (select * from allcoef where coef > 0)"

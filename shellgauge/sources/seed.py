@@ -19,10 +19,20 @@ class EmptySource(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line, value of the lines of text files. A file is read whole, as line numbers need it;
-    lists of commands are small files."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    """path, line (from 1), value of the lines of text files. Files are read in splits: a line's place is its place in the split, and
+    a small window over the splits' line counts carries the numbers over their borders."""
+    meta = "_metadata.file_path as path", "_metadata.file_block_start as split", "monotonically_increasing_id() as id", "value"
+    lines = spark.read.text(path).selectExpr(*meta)
+    within = F.row_number().over(Window.partitionBy("path", "split").orderBy("id"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("path", "split").agg(F.count("*").alias("n")).select("path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = lines.withColumn("within", within).join(sizes, ["path", "split"])
+    return numbered.select("path", (F.col("before") + F.col("within")).cast("int").alias("line"), "value")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes lines (path, line, value) as text files, a folder for each path."""
+    lines.repartition("path").sortWithinPartitions("path", "line").select("path", "value").write.partitionBy("path").text(path)
 
 
 def section_of(heading: Column, sections=SECTIONS) -> Column:
