@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZES = (2, 3, 4, 5)
 MIN_DF = 3
+#: Characters of an n-gram that fit into a key.
+KEY_BYTES = 7
+#: Cells of the sketch that stops rare n-grams, one byte each, and of a chunk in which tasks' cells are added up.
+SKETCH_CELLS, SKETCH_CHUNK = 1 << 22, 1 << 16
+#: Different n-grams that a task holds before it passes its counts on.
+HELD_KEYS = 2_000_000
 
 # The patterns of the dense features. They read lower-cased ASCII, so the capitals in
 # some of them never match; they stay as they are, as scores depend on them.
@@ -91,12 +101,101 @@ def gram_table(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(ngrams(F.col("text"), F.col("unquoted"))).alias("gram"))
 
 
+def gram_key(gram: Column) -> Column:
+    """An n-gram of up to KEY_BYTES ASCII characters as a number, one byte each: equal only for equal n-grams, as no byte is zero."""
+    return F.conv(F.hex(gram), 16, 10).cast("long")
+
+
+def keys_in(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of all n-grams of normalised texts, repeats included; a null text has none."""
+    text = text.cast(pa.large_string())
+    at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.int64)
+    row = np.repeat(np.arange(len(text)), np.diff(at))
+    rows, keys, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], data
+    for n in range(2, max(SIZES) + 1):
+        if len(data) < n:
+            break
+        key = key[:-1] << 8 | data[n - 1 :]
+        if n in SIZES:
+            whole = row[: len(key)] == row[n - 1 :]
+            rows.append(row[: len(key)][whole])
+            keys.append(key[whole])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def row_sets(text: pa.Array, unquoted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each row's set of n-grams of both views."""
+    both = [keys_in(view) for view in (text, unquoted)]
+    rows, keys = (np.concatenate(x) for x in zip(*both, strict=True))
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+    return rows[new], keys[new]
+
+
 def vocabulary(grams: DataFrame, n_commands: Column | int, min_df: int = MIN_DF) -> DataFrame:
     """gram, df, idf of the n-grams that at least min_df commands have. Smoothed idf: ln((1+n)/(1+df)) + 1."""
     n = n_commands if isinstance(n_commands, Column) else F.lit(n_commands)
     return grams.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
 
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (SKETCH_CELLS.bit_length() - 1))).astype(np.int64)
+
+
+def _sketch(views: DataFrame, min_df: int) -> np.ndarray:
+    """For each cell, whether the n-grams that fall into it occur in min_df commands together: if not, each of them is rare. Tasks count
+    up to min_df in a byte a cell; chunks of cells are added up in tasks, and the driver gets SKETCH_CELLS bytes."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH_CELLS, np.uint8)
+        for b in batches:
+            cells, n = np.unique(_cells(row_sets(b.column(0), b.column(1))[1]), return_counts=True)
+            counts[cells] = np.minimum(counts[cells] + np.minimum(n, min_df), min_df)
+        chunks = [c for c in range(0, SKETCH_CELLS, SKETCH_CHUNK) if counts[c : c + SKETCH_CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([counts[c : c + SKETCH_CHUNK].tobytes() for c in chunks], pa.binary())], names=["at", "counts"])
+
+    def added(key, table):
+        total = np.zeros(SKETCH_CHUNK, np.uint8)
+        for x in table["counts"].to_pylist():
+            total = np.minimum(total + np.frombuffer(x, np.uint8), min_df)
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
+
+    out = np.zeros(SKETCH_CELLS, bool)
+    merged = views.mapInArrow(part, "at int, counts binary").groupBy("at").applyInArrow(added, "at int, counts binary")
+    for r in merged.toArrow().to_pylist():
+        out[r["at"] : r["at"] + SKETCH_CHUNK] = np.frombuffer(r["counts"], np.uint8) >= min_df
+    return out
+
+
+def vocabulary_of(df: DataFrame, n_commands: Column | int, min_df: int = MIN_DF) -> DataFrame:
+    """vocabulary() of normalised commands (text, unquoted) by two passes: a sketch first, then exact counts of the n-grams that it
+    doesn't know to be rare. What is exchanged are keys with a task's counts, so most rare n-grams never leave their task."""
+    if min_df > 100:
+        raise ValueError("the sketch counts in bytes")
+    views = df.where("text is not null").select("text", "unquoted")
+    # every n-gram that occurs reaches a least frequency of 1
+    shared = df.sparkSession.sparkContext.broadcast(_sketch(views, min_df) if min_df > 1 else np.ones(SKETCH_CELLS, bool))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            more = row_sets(b.column(0), b.column(1))[1]
+            own, n = np.unique(more[shared.value[_cells(more)]], return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            if len(keys) > HELD_KEYS:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                keys, counts = keys[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+    n = n_commands if isinstance(n_commands, Column) else F.lit(n_commands)
+    exact = views.mapInArrow(part, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
+    return exact.select(F.unhex(F.hex("key")).cast("string").alias("gram"), "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 

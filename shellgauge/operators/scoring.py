@@ -19,8 +19,6 @@ FOLD_TOLERANCE, GOLDEN_TOLERANCE, DRIFT_TOLERANCE = 1e-9, 1e-4, 1e-9
 BROADCAST_GRAMS = 1_000_000
 #: A packed model's n-grams are broadcast up to this many (16 bytes each); more are joined.
 PACKED_GRAMS = 8_000_000
-#: Characters of an n-gram that fit into a key.
-KEY_BYTES = 7
 
 
 def folded(weights: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -44,29 +42,6 @@ def dense_sum(dense: DataFrame) -> Column:
     return out
 
 
-def gram_key(gram: Column) -> Column:
-    """An n-gram of up to KEY_BYTES ASCII characters as a number, one byte each: equal only for equal n-grams, as no byte is zero."""
-    return F.conv(F.hex(gram), 16, 10).cast("long")
-
-
-def keys_in(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of all n-grams of normalised texts, repeats included; a null text has none."""
-    text = text.cast(pa.large_string())
-    at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
-    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.int64)
-    row = np.repeat(np.arange(len(text)), np.diff(at))
-    rows, keys, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], data
-    for n in range(2, max(X.SIZES) + 1):
-        if len(data) < n:
-            break
-        key = key[:-1] << 8 | data[n - 1 :]
-        if n in X.SIZES:
-            whole = row[: len(key)] == row[n - 1 :]
-            rows.append(row[: len(key)][whole])
-            keys.append(key[whole])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
 @dataclass
 class Packed:
     """A model's n-grams as sorted keys and their coefficients, in the order of the keys; small enough for every task."""
@@ -79,7 +54,7 @@ class Packed:
         which view it occurs."""
         found = []
         for view in (text, unquoted):
-            row, key = keys_in(view)
+            row, key = X.keys_in(view)
             at = np.searchsorted(self.keys, key)
             at[at == len(self.keys)] = 0
             known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
@@ -96,7 +71,7 @@ class Packed:
         row, at = self.found(text, unquoted)
         # keys with their first byte in one place are in order of the names
         size = np.ceil(np.log2(self.keys[at] + 1) / 8).astype(np.int64)
-        order = np.lexsort((self.keys[at] << (8 * (KEY_BYTES - size)), -np.abs(self.coefs[at]), row))
+        order = np.lexsort((self.keys[at] << (8 * (X.KEY_BYTES - size)), -np.abs(self.coefs[at]), row))
         row, at = row[order], at[order]
         first = np.searchsorted(row, row)
         inside = np.arange(len(row)) - first < top
@@ -104,7 +79,7 @@ class Packed:
 
     def listed(self, n: int, row: np.ndarray, at: np.ndarray) -> pa.Array:
         """An array of (feature, weight) for each of n rows."""
-        names = [int(k).to_bytes(KEY_BYTES, "big").lstrip(b"\0").decode() for k in self.keys[at]]
+        names = [int(k).to_bytes(X.KEY_BYTES, "big").lstrip(b"\0").decode() for k in self.keys[at]]
         entries = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(self.coefs[at])], names=["feature", "weight"])
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), entries)
 
@@ -139,14 +114,9 @@ def traced(spark: SparkSession, model: Packed, top: int, text: str = "text", unq
     def found(text: pa.Array, unquoted: pa.Array) -> pa.Array:
         model, n = shared.value, len(text)
         row, at = model.found(text, unquoted)
-        both = [keys_in(view) for view in (text, unquoted)]
-        rows, keys = (np.concatenate(x) for x in zip(*both, strict=True))
-        order = np.lexsort((keys, rows))
-        rows, keys = rows[order], keys[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+        rows, _ = X.row_sets(text, unquoted)
         known = np.bincount(row, minlength=n)
-        parts = [pa.array(known), pa.array(np.bincount(rows[new], minlength=n) - known), pa.array(np.bincount(row, model.coefs[at], n)), model.listed(n, *model.largest(text, unquoted, top))]
+        parts = [pa.array(known), pa.array(np.bincount(rows, minlength=n) - known), pa.array(np.bincount(row, model.coefs[at], n)), model.listed(n, *model.largest(text, unquoted, top))]
         return pa.StructArray.from_arrays(parts, names=["known", "unknown", "sparse", "top"])
 
     return found(F.col(text), F.col(unquoted))
@@ -164,9 +134,9 @@ class Model:
 
 def packed(coef: DataFrame) -> Packed | None:
     """The n-grams (gram, coef) as arrays; None if they are too many, or too long for a key."""
-    if coef.limit(PACKED_GRAMS + 1).count() > PACKED_GRAMS or not coef.where(F.octet_length("gram") > KEY_BYTES).isEmpty():
+    if coef.limit(PACKED_GRAMS + 1).count() > PACKED_GRAMS or not coef.where(F.octet_length("gram") > X.KEY_BYTES).isEmpty():
         return None
-    rows = coef.select(gram_key(F.col("gram")).alias("key"), "coef").toArrow()
+    rows = coef.select(X.gram_key(F.col("gram")).alias("key"), "coef").toArrow()
     keys, coefs = rows["key"].to_numpy(), rows["coef"].to_numpy()
     order = np.argsort(keys)
     return Packed(keys[order], coefs[order])

@@ -61,10 +61,13 @@ def f02_joined_grams(spark, sf_dir):
 _VOCAB = f"vocab as (select gram, count(*) as df, ln((1 + (select count(*) from norm)) / (1 + count(*))) + 1 as idf from grams group by gram having count(*) >= {X.MIN_DF})"
 
 
+def _vocabulary(spark, sf_dir) -> DataFrame:
+    return X.vocabulary_of(C.norm(spark, sf_dir), C.log(spark, sf_dir).count())
+
+
 @query(Q.with_ctes([*GRAMS, _VOCAB], "select gram, df, round(idf, 9) as idf from vocab"))
 def f04_f05_vocabulary(spark, sf_dir):
-    n = C.norm(spark, sf_dir).count()
-    return X.vocabulary(grams(spark, sf_dir), n).select("gram", "df", F.round("idf", 9).alias("idf"))
+    return _vocabulary(spark, sf_dir).select("gram", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(Q.with_ctes(["d as (select doc_id, coalesce(text, '') as text_ from documents)", Q.norm_cte("d", "text_", latin=True), "words as (select doc_id, unnest(list_distinct(string_split(unquoted, ' '))) as gram from norm)"], "select gram, count(*) as df from words where gram <> '' group by 1 having count(*) >= 3"))
@@ -107,7 +110,7 @@ def f08_standardised(spark, sf_dir):
 @query(Q.with_ctes([*DENSE, _SPEC, _LONG, _Z, Q.grams_cte(), _VOCAB], "select part, count(*) as n, round(sum(value * value), 3) + 0.0 as squares from (select 'g' as part, idf as value from grams join vocab using (gram) union all select 'd', z from z) group by 1"))
 def f09_matrix(spark, sf_dir):
     g = grams(spark, sf_dir)
-    m = X.matrix(g, X.vocabulary(g, C.norm(spark, sf_dir).count()), z(spark, sf_dir), "event_id")
+    m = X.matrix(g, _vocabulary(spark, sf_dir), z(spark, sf_dir), "event_id")
     return m.groupBy(F.substring("feature", 1, 1).alias("part")).agg(F.count("*").alias("n"), (F.round(F.sum(F.col("value") * F.col("value")), 3) + 0.0).alias("squares"))
 
 
@@ -183,8 +186,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> str:
     rows = Tr.stratified(rows.withColumn("id", F.md5(F.concat_ws("\n", "text", "unquoted", F.col("label").cast("string")))), command="text")
     rows = tables.stored(X.dense(rows), "rows")
     train = rows.where("not validation")
-    long = X.gram_table(train, "id")
-    vocab = tables.stored(X.vocabulary(long, train.count()), "vocabulary")
+    vocab = tables.stored(X.vocabulary_of(train, train.count()), "vocabulary")
     spread = tables.stored(X.standardiser(train), "spread")
     z = X.standardised(X.dense_long(rows.select("id", *X.DENSE), "id"), spread).select("id", "feature", "z")
     feats = tables.stored(X.matrix(X.gram_table(rows, "id"), vocab, z, "id"), "matrix")
@@ -308,7 +310,7 @@ _SCORED = "scored as (select d.event_id, d.event_type, d.command, d.risk as labe
 def model(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """coef (gram, coef) of the log's n-grams and dense (name, coef, mean, std)."""
     # the distinct n-grams are written first: a filter on coefficients would else move below the grouping and cost a digest for each repeat
-    known = tables.stored(grams(spark, sf_dir).select("gram").distinct(), "grams")
+    known = tables.stored(X.vocabulary_of(C.norm(spark, sf_dir), 0, 1).select("gram"), "grams")
     coef = S.pruned(known.withColumn("coef", toy(F.col("gram"))))
     named = spec(spark, sf_dir).withColumn("coef", toy(F.concat(F.lit("d:"), "name")) / 10)
     return coef, named
@@ -346,7 +348,7 @@ def e03_reasons(spark, sf_dir):
 
 @query(Q.with_ctes([*GRAMS, _VOCAB], f"select gram, round({_TOY.format(x='gram')} * idf, 9) + 0.0 as coef from vocab where abs({_TOY.format(x='gram')} * idf) >= {S.PRUNE}"))
 def e04_e05_folded_pruned(spark, sf_dir):
-    vocab = X.vocabulary(grams(spark, sf_dir), C.norm(spark, sf_dir).count())
+    vocab = _vocabulary(spark, sf_dir)
     weights = vocab.select("gram", toy(F.col("gram")).alias("weight"))
     return S.pruned(S.folded(weights, vocab)).select("gram", (F.round("coef", 9) + 0.0).alias("coef"))
 
@@ -359,7 +361,7 @@ def e06_fold_check(spark, sf_dir):
     """Scores by weight and idf, and whether scores by folded coefficients agree with them."""
     g = C.norm(spark, sf_dir).select("command", "text", "unquoted").dropDuplicates(["command"])
     long = X.gram_table(g, "command")
-    vocab = X.vocabulary(grams(spark, sf_dir), C.norm(spark, sf_dir).count())
+    vocab = _vocabulary(spark, sf_dir)
     weights = vocab.select("gram", toy(F.col("gram")).alias("weight"))
     plain = long.join(vocab.join(weights, "gram"), "gram").groupBy("command").agg(F.sum(F.col("weight") * F.col("idf")).alias("risk"))
     folded = long.join(S.folded(weights, vocab), "gram").groupBy("command").agg(F.sum("coef").alias("risk"))
@@ -524,7 +526,7 @@ _TOP_GRAMS = f"tops as (select event_id, string_agg(gram || '=' || round(coef *
 @query(Q.with_ctes([*GRAMS, _COEF, _TRACE, _TOP_GRAMS, "sums as (select event_id, count(coef) as known, count(*) filter (coef is null) as unknown, coalesce(sum(coef), 0) as sparse from grams left join known_ using (gram) group by 1)"], "select event_id, known, unknown, round(sparse, 6) as sparse, coalesce(top, '') as top from sums left join tops using (event_id)"))
 def e23_trace(spark, sf_dir):
     """N-grams that a model has and lacks, their sum and the ten largest with their names, for each command."""
-    known = tables.stored(grams(spark, sf_dir).select("gram").distinct(), "grams")
+    known = tables.stored(X.vocabulary_of(C.norm(spark, sf_dir), 0, 1).select("gram"), "grams")
     model = S.packed(known.withColumn("coef", toy(F.col("gram"))).where("coef > 0"))
     rows = C.norm(spark, sf_dir).where("length(text) > 1").select("event_id", S.traced(spark, model, S.TRACED).alias("t"))
     top = F.array_join(F.transform("t.top", lambda x: F.concat(x["feature"], F.lit("="), F.round(x["weight"] * 5000).cast("int").cast("string"))), "\n")

@@ -59,9 +59,9 @@ def test_long_grams_are_joined(spark, model):
 
 def test_keys_are_exact(spark):
     grams = ["ab", "ba", "abc", "~~~~~~~", "  ", "!~"]
-    keys = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(S.gram_key(F.col("gram"))).collect()]
+    keys = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(X.gram_key(F.col("gram"))).collect()]
     assert keys == [int.from_bytes(g.encode(), "big") for g in grams]
-    row, key = S.keys_in(pa.array(["zz", "abc", None, "", "abab"]).slice(1))
+    row, key = X.keys_in(pa.array(["zz", "abc", None, "", "abab"]).slice(1))
     got = sorted(zip(row.tolist(), [int(k).to_bytes(7, "big").lstrip(b"\0").decode() for k in key], strict=True))
     assert got == sorted([(0, "ab"), (0, "bc"), (0, "abc"), *[(3, g) for g in ("ab", "ba", "ab", "aba", "bab", "abab")]])
 
@@ -85,6 +85,16 @@ def test_reasons_and_traces_against_brute_force(spark, ready, model):
         assert [x["feature"] for x in t["top"]] == sorted(known, key=lambda g: (-abs(known[g]), g))[:10]
 
 
+def test_vocabulary_by_sketch_is_exact(spark, ready, monkeypatch):
+    rows = ready.where("command is not null").select("id", "text", "unquoted")
+    rows = rows.unionByName(rows.selectExpr("id + 100 as id", "concat(text, 'x', id) as text", "concat(unquoted, 'x', id) as unquoted")).repartition(4)
+    want = {(r["gram"], r["df"], r["idf"]) for r in X.vocabulary(X.gram_table(rows, "id"), 36).collect()}
+    for held in (X.HELD_KEYS, 10):
+        monkeypatch.setattr(X, "HELD_KEYS", held)
+        assert {(r["gram"], r["df"], r["idf"]) for r in X.vocabulary_of(rows, 36).collect()} == want
+    assert X.vocabulary_of(rows.where("false"), 1).count() == 0
+
+
 def test_stream_is_one_plan_and_equals_the_batch(spark, model, tmp_path):
     cols = "cast(id as bigint) as event_id", "timestamp'2024-01-01' as ts", "1L as user_id", "'e' as event_type", "command"
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(COMMANDS)], "id int, command string").selectExpr(*cols)
