@@ -22,6 +22,8 @@ NO_DATA = (1.0, 3.0)
 ALPHAS = (0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
 #: Distinct scores of a block, about, by which sorted scores are dealt out to tasks.
 BLOCK_SCORES = 20_000
+#: Entries of the matrix for a task of a pass, at least: passes over a small matrix are few short tasks.
+TASK_ENTRIES = 300_000
 #: Features whose names or coefficients are broadcast up to this many (about 60 bytes each).
 BROADCAST_NAMES = 1_000_000
 #: The fit ends where no gradient's norm is above TOLERANCE, or after ROUNDS steps.
@@ -233,7 +235,12 @@ def fit(features: DataFrame, targets: DataFrame, alphas: tuple[float, ...] = ALP
     size = names.count() + 1
     matrix = rows_of_matrix(features, targets.where("not validation"), names).persist()
     held = rows_of_matrix(features, targets.where("validation"), names)
-    n = matrix.count()
+    n, entries = matrix.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    tasks = max(1, -(-entries // TASK_ENTRIES))
+    if tasks < matrix.rdd.getNumPartitions():
+        dealt, matrix = matrix, matrix.repartition(tasks).persist()
+        matrix.count()
+        dealt.unpersist()
     done = minimise(matrix, size, alphas, max(1, n), rounds, tolerance)
     shared = spark.sparkContext.broadcast(np.column_stack([s.w for s in done]))
 

@@ -180,7 +180,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> str:
     part only; thresholds from the validation part's scores by the folded model.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _fitted:
+    if key in _fitted and tables.exists(spark, f"{_fitted[key]}/grid/_SUCCESS"):
         return _fitted[key]
     rows = C.norm(spark, sf_dir).select("text", "unquoted", "segments", F.col("risk").alias("label")).dropDuplicates(["text", "unquoted", "label"])
     rows = Tr.stratified(rows.withColumn("id", F.md5(F.concat_ws("\n", "text", "unquoted", F.col("label").cast("string")))), command="text")

@@ -31,6 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A scanned table with at least as many partitions as there are cores: a file of one row group, however costly its rows are,
     would be one task. Tables with enough splits stay as they are, without an exchange."""
