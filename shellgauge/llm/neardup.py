@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_slices, written
+from .common import discard, map_slices, renamed, written
 
 K = 5
 ELL, ROWS, BANDS = 2, 3, 32
@@ -423,9 +423,17 @@ def node_texts(df: DataFrame, key: str, text: str, nodes: DataFrame, pairs: Data
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, that of its smallest key; rows of null texts all stay. Keys have to be unique."""
-    dropped = classes(df, key, text).where(F.col(key).isNotNull() & ~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("gone_"))
-    return df.join(dropped, df[key] == dropped["gone_"], "left_anti")
+    """One row of each class, that of its smallest key (a null key counts as the smallest); rows of null texts all
+    stay, those of texts without words are one class. Where keys repeat or are null, rows are told apart by a number that a written copy of the table gives
+    them, and of a class's rows with the smallest key any one stays."""
+    times = df.groupBy(F.col(key).alias("key_")).agg(F.count("*").alias("times_"))
+    if times.where("times_ > 1 or key_ is null").isEmpty():
+        dropped = classes(df, key, text).where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("gone_"))
+        return df.join(dropped, df[key] == dropped["gone_"], "left_anti")
+    rows, names = renamed(df)
+    rows = written(rows.withColumn("row_", F.struct(F.col(names[key]).alias("k"), F.monotonically_increasing_id().alias("i"))), "rows")
+    gone = classes(rows, "row_", names[text]).where("row_ <> class_id").select("row_")
+    return rows.join(gone, "row_", "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,12 +143,16 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
     return out
 
 
+def _divergence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The terms of twice the Jensen-Shannon divergence."""
+    mid = (a + b) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num(a * np.log2(a / mid)) + np.nan_to_num(b * np.log2(b / mid))
+
+
 def js_distances(own: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distances of a histogram of sum 1 to each row of refs: 0 (equal) to 1 (disjoint)."""
-    mid = (own + refs) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        terms = np.nan_to_num(own * np.log2(own / mid)) + np.nan_to_num(refs * np.log2(refs / mid))
-    return np.sqrt(np.maximum(0.0, terms.sum(axis=1) / 2))
+    return np.sqrt(np.maximum(0.0, _divergence(own, refs).sum(axis=1) / 2))
 
 
 class Judge:
@@ -161,12 +165,14 @@ class Judge:
         for _, common in refs.values():
             for w in common:
                 known.setdefault(w, len(known))
-        #: row by language: share of each known word, 0 if it isn't one of the language's
-        self.word_refs = np.zeros((len(refs), len(known)))
-        for row, (_, common) in zip(self.word_refs, refs.values(), strict=True):
-            for w, share in common.items():
-                row[known[w]] = share
-        self.rest = np.maximum(0.0, 1 - self.word_refs.sum(axis=1))
+        # sparse rows by word: the languages it is common in, and its share there
+        words = np.array([known[w] for _, common in refs.values() for w in common], np.int64)
+        langs = np.repeat(np.arange(len(refs)), [len(common) for _, common in refs.values()])
+        order = np.argsort(words, kind="stable")
+        self.lang_of = langs[order].astype(np.int32)
+        self.share_of = np.array([x for _, common in refs.values() for x in common.values()], float)[order]
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=len(known)))])
+        self.rest = np.maximum(0.0, 1 - np.bincount(self.lang_of, self.share_of, len(refs)))
         #: a common word is met in lower case, capitalised or in upper case
         self.words = {form: i for w, i in known.items() for form in (w.upper(), w.capitalize(), w)}
 
@@ -175,16 +181,20 @@ class Judge:
         c = w = None
         if len(self.class_refs) and n_chars >= GUARD_CHARS and classes.sum():
             c = float(js_distances(classes / classes.sum(), self.class_refs).min())
-        if len(self.word_refs) and n_words >= GUARD_WORDS:
-            refs = self.word_refs[:, at]
-            own = np.where(refs > 0, np.array(counts, float) / n_words, 0.0)
-            here = np.column_stack([own, np.maximum(0.0, 1 - own.sum(axis=1))])
-            there = np.column_stack([refs, self.rest])
-            missing = np.maximum(0.0, 1 - there.sum(axis=1))  # words of the language that the text lacks
-            mid = (here + there) / 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                terms = np.nan_to_num(here * np.log2(here / mid)) + np.nan_to_num(there * np.log2(there / mid))
-            w = float(np.sqrt(np.maximum(0.0, (terms.sum(axis=1) + missing) / 2)).min())
+        if len(self.rest) and n_words >= GUARD_WORDS:
+            at = np.array(at, np.int64)
+            number = self.begins[at + 1] - self.begins[at]
+            entry = np.arange(number.sum()) + np.repeat(self.begins[at] - np.cumsum(number) + number, number)
+            lang, there = self.lang_of[entry], self.share_of[entry]
+            here = np.repeat(np.array(counts, float) / n_words, number)
+
+            def by_lang(x: np.ndarray) -> np.ndarray:
+                return np.bincount(lang, x, len(self.rest))
+
+            other = np.maximum(0.0, 1 - by_lang(here))
+            missing = np.maximum(0.0, 1 - by_lang(there) - self.rest)  # words of the language that the text lacks
+            terms = by_lang(_divergence(here, there)) + _divergence(other, self.rest) + missing
+            w = float(np.sqrt(np.maximum(0.0, terms / 2)).min())
         return c, w
 
     def judge(self, text: str | None, lang: str | None = None) -> tuple:
@@ -215,11 +225,12 @@ COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigi
 def judge_quality(df: DataFrame, refs: dict | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Key and COLUMNS of each row. refs: see references(); by default those of the table itself."""
     refs = references(df, text, lang) if refs is None else refs
+    shared = df.sparkSession.sparkContext.broadcast(refs)  # at most COMMON words a language
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
     def make():
-        judge = Judge(refs).judge
+        judge = Judge(shared.value).judge
 
         def fn(part):
             rows = [judge(t, k) for t, k in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text_", "lang_")), strict=True)]

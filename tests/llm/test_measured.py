@@ -56,3 +56,34 @@ def test_quality_references_against_brute_force(spark):
         total = sum(words[k].values())
         assert common == {w: n / total for w, n in sorted(words[k].items()) if n >= total / quality.COMMON}
         assert hist == pytest.approx(classes[k] / classes[k].sum(), abs=1e-4)
+
+
+def test_one_row_stays_of_repeated_and_null_keys(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("oak", "elm"))
+    rows = [(7, one, 1), (7, one, 2), (7, two, 3), (3, two, 4), (None, two + " end", 5), (9, None, 6), (9, None, 7), (8, "", 8), (8, " ", 9), (5, "alone", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_ int")
+    kept = neardup.keep_one(docs).collect()
+    found = [(r["doc_id"], r["text"]) for r in kept]
+    assert sorted(found, key=str) == sorted([(7, one), (None, two + " end"), (9, None), (9, None), (8, found[[k for k, _ in found].index(8)][1]), (5, "alone")], key=str)
+    once = neardup.keep_one(docs.where("row_ in (2, 3, 4)").withColumn("doc_id", docs["doc_id"] + docs["row_"]))
+    assert sorted(r["row_"] for r in once.collect()) == [2, 4]
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_word_distances_of_sparse_references():
+    rng = np.random.default_rng(3)
+    refs = {}
+    for k in range(12):
+        words = rng.choice(60, 20, replace=False)
+        refs[f"l{k}"] = (np.ones(quality.N_CLASSES) / quality.N_CLASSES, {b"w%d" % w: s for w, s in zip(words, rng.dirichlet(np.ones(21))[:20], strict=True)})
+    refs["none"] = (np.ones(quality.N_CLASSES) / quality.N_CLASSES, {})
+    judge = quality.Judge(refs)
+    for n in (0, 1, 30):
+        used = rng.choice([w for w in judge.words if w.islower()], n, replace=False).tolist() if n else []
+        counts = rng.integers(1, 4, n).tolist()
+        total, share = 100, dict(zip(used, counts, strict=True))
+        best = min(
+            quality.js_distances(np.array([*(share.get(w, 0) / total for w in common), 1 - sum(share.get(w, 0) for w in common) / total]), np.array([[*common.values(), 1 - sum(common.values())]]))[0]
+            for _, common in refs.values()
+        )
+        assert judge.distances(np.zeros(quality.N_CLASSES), 0, [judge.words[w] for w in used], counts, total)[1] == pytest.approx(best, abs=1e-9)
