@@ -44,3 +44,25 @@ def test_normalised_text_looks_no_character_up(spark):
     assert out.where("not (text <=> other.text and unquoted <=> other.unquoted and segments <=> other.segments)").isEmpty()
     plan = out.select("text", "unquoted")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") <= 1  # that of characters beyond ASCII
+
+
+def test_packed_gram_sets_equal_the_columns(spark):
+    from shellgauge.functions import features as X
+
+    rows = N.normalize_commands(commands(spark).union(commands(spark)))
+    text, other = F.col("text"), F.col("unquoted")
+    a, b = X.ngrams(text, other), X.ngrams(other, F.substring("text", 2, 9))
+    joined = X.joined_ngrams(text, other)
+    wanted = F.struct(F.size(a).alias("n"), F.size(joined).alias("j"), F.size(F.filter(joined, lambda g: g.contains("\0"))).alias("x"), F.size(F.array_intersect(a, b)).alias("c"), F.size(F.array_except(a, b)).alias("l"), F.size(F.array_except(b, a)).alias("r"))
+    d, j = X.gram_difference(text, other, other, F.substring("text", 2, 9)), X.joined_gram_counts(text, other)
+    got = rows.select(wanted.alias("w"), X.gram_count(text, other).alias("n"), j.alias("j"), d.alias("d")).collect()
+    assert len(got) == 2 * len(COMMANDS)
+    for r in got:
+        assert tuple(r["w"]) == (r["n"], r["j"]["n"], r["j"]["across"], r["d"]["common"], r["d"]["only_left"], r["d"]["only_right"])
+
+
+def test_drift_needs_no_join(spark):
+    from shellgauge.queries import model_queries as M
+
+    plan = M.e19_dense_drift(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # that of the log with its commands
