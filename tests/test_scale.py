@@ -66,3 +66,11 @@ def test_drift_needs_no_join(spark):
 
     plan = M.e19_dense_drift(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # that of the log with its commands
+
+
+def test_fold_check_and_matrix_exchange_no_grams(spark):
+    from shellgauge.queries import model_queries as M
+
+    for made in (M.e06_fold_check(spark, "/root/testdata/sf0.001"), M.f09_matrix(spark, "/root/testdata/sf0.001")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode" not in plan and "gram" not in [w.split("#")[0].strip("[") for line in plan.splitlines() if "Aggregate" in line for w in line.split()]
