@@ -8,14 +8,14 @@ follows by walking back from its end. As every entry depends on the entries befo
 can be appended exactly (``PrefixEncoding.append``), and an edit keeps all entries before the edit
 and stops as soon as the entries after it agree again (``PrefixEncoding.replace``).
 
-Text is first cut into pieces by the tokenizer's pattern; each piece is encoded separately.
+Text is first cut into pieces by the tokenizer's pattern; each piece is encoded separately. Pieces that a
+worker doesn't remember are encoded together, by the same recurrence over arrays (``PieceArrays``).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import AT_END, REMEMBERED, map_slices
 
-#: Memory, in bytes, for what a Python worker remembers: encoded pieces, prefixes of pieces, and pairs of tokens.
-#: One that is full becomes the older half, and what is met again in that moves back. Results don't depend on it.
-PIECE_MEMORY, PREFIX_MEMORY, PAIR_MEMORY = 24 << 20, 24 << 20, 4 << 20
-#: Longest piece that is remembered.
+#: Memory, in bytes, for what a Python worker remembers: encoded pieces and pairs of tokens. Pieces that fill their
+#: memory become the older half, and what is met again in that moves back. Results don't depend on it.
+PIECE_MEMORY, PAIR_MEMORY = 48 << 20, 4 << 20
+#: Longest piece that is remembered and encoded with others; longer ones are encoded by themselves.
 PIECE_CACHE_BYTES = 48
+#: Pieces that are looked up together, bytes of pieces that are encoded together, and places for pairs of tokens in that.
+RUN_PIECES, BATCH_BYTES, PAIR_PLACES = 300_000, 1 << 19, 1 << 18
 #: About what one entry takes in a dictionary: slot, key and value objects (a piece's own bytes come on top), and a pair of tokens.
 ENTRY, PAIR_ENTRY = 210, 120
 
@@ -175,6 +177,119 @@ class PrefixEncoding:
         return out[::-1]
 
 
+def _looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted numbers in sorted keys, and whether they are there."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+class PieceArrays:
+    """The recurrence of PrefixEncoding for many pieces at once, a byte of all of them a step.
+
+    A trie over the tokens gives the longest token that ends at each byte; shorter candidates are its suffixes that are tokens."""
+
+    def __init__(self, vocab: Ranks, widths: np.ndarray):
+        self.widths, top = widths, len(widths)
+        self.reached = np.zeros(top, bool)
+        self.shorter, self.left_half, self.right_half = np.full((3, top), -1, np.int64)
+        edges: dict[int, int] = {}
+        token = [-1]
+        for t, r in vocab.ranks.items():
+            self.reached[r] = len(t) == 1 or r in vocab.halves
+            self.left_half[r], self.right_half[r] = vocab.halves.get(r, (-1, -1))
+            self.shorter[r] = next((s for k in range(1, len(t)) if (s := vocab.ranks.get(t[k:])) is not None), -1)
+            node = 0
+            for b in t:
+                if (child := edges.get(node << 8 | b)) is None:
+                    child = edges[node << 8 | b] = len(token)
+                    token.append(-1)
+                node = child
+            token[node] = r
+        self.token = np.array(token)
+        self.edges, self.children = np.array(sorted(edges.items()), np.int64).reshape(-1, 2).T.copy()
+        self.merged, self.merges = np.array(sorted((a * top + b, r) for (a, b), r in vocab.merged.items()), np.int64).reshape(-1, 2).T.copy()
+        #: twice a pair's number, plus 1 if it holds; a pair that takes another's place is worked out again
+        self.known = np.full(PAIR_PLACES, -1, np.int64)
+
+    def holds(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * len(self.widths) + right
+        place = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.known).bit_length())).astype(np.int64)
+        known = self.known[place]
+        new = np.flatnonzero(known >> 1 != pair)
+        if len(new):
+            known[new] = pair[new] << 1 | self._holds(left[new], right[new])
+            self.known[place[new]] = known[new]
+        return known & 1 == 1
+
+    def _holds(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks._pair_holds for each pair."""
+        out, row, before = np.ones(len(left), bool), np.arange(len(left)), np.full(len(left), 1 << 62)
+        while len(row):
+            at, joined = _looked_up(self.merged, left * len(self.widths) + right)
+            if len(self.merges):
+                joined &= self.merges[at] < before
+            out[row[joined]] = False
+            a, b = self.right_half[left], self.left_half[right]
+            go = ~joined & ((a >= 0) | (b >= 0))
+            row, left, right, a, b = row[go], left[go], right[go], a[go], b[go]
+            of_left = (b < 0) | ((a >= 0) & (left > right))
+            before = np.where(of_left, left, right + 1)
+            left, right = np.where(of_left, a, left), np.where(of_left, right, b)
+        return out
+
+    def _longest(self, data: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """The longest token that ends at each byte within its piece; room: bytes up to the piece's end."""
+        out, at, node, n = np.full(len(data), -1, np.int64), np.arange(len(data)), np.zeros(len(data), np.int64), 0
+        while len(at):
+            edge, there = _looked_up(self.edges, node << 8 | data[at + n])
+            at, node = at[there], self.children[edge[there]]
+            token = self.token[node]
+            out[at[token >= 0] + n] = token[token >= 0]
+            n += 1
+            more = room[at] > n
+            at, node = at[more], node[more]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece; no piece is empty."""
+        size = np.array([len(p) for p in pieces], np.int64)
+        begin = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        longest = self._longest(data, np.repeat(begin + size, size) - np.arange(len(data)))
+        last = np.full(len(data), -1, np.int64)
+        active = begin[np.argsort(-size, kind="stable")]
+        reach = np.searchsorted(np.sort(size), np.arange(1, size.max(initial=0) + 1))
+        for i, shorter in enumerate(reach):
+            at = active[: len(active) - shorter] + i
+            token = longest[at]
+            at, token = at[token >= 0], token[token >= 0]
+            while len(at):
+                width = self.widths[token]
+                before = last[at - width]
+                fits = self.reached[token] & (width == i + 1)
+                seam = np.flatnonzero((width <= i) & (before >= 0))
+                fits[seam] = self.holds(before[seam], token[seam])
+                last[at[fits]] = token[fits]
+                at, token = at[~fits], self.shorter[token[~fits]]
+                at, token = at[token >= 0], token[token >= 0]
+        # back from the ends
+        piece, left, steps = np.arange(len(pieces)), size, []
+        while len(piece):
+            token = last[begin[piece] + left - 1]
+            if token.min() < 0:
+                raise ValueError("the vocabulary lacks a byte of this text")
+            steps.append((piece, token))
+            left = left - self.widths[token]
+            piece, left = piece[left > 0], left[left > 0]
+        if not steps:
+            return []
+        owner, ids = (np.concatenate(x[::-1]) for x in zip(*steps, strict=True))
+        packed = ids[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Tokenizer:
     """Encodes whole texts and decodes ids; remembers pieces."""
 
@@ -186,63 +301,71 @@ class Tokenizer:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0  # bytes of the cache, about
-        self.prefixes: dict[bytes, int] = {}
-        self.older_prefixes: dict[bytes, int] = {}
         top = max(vocab.token, default=-1) + 1
         self.widths = np.zeros(top, np.int64)
         for r, t in vocab.token.items():
             self.widths[r] = len(t)
         self.starts = np.concatenate([[0], np.cumsum(self.widths)])
         self.flat = np.frombuffer(b"".join(vocab.token.get(r, b"") for r in range(top)), np.uint8)
+        self.arrays = PieceArrays(vocab, self.widths)
 
     def forget(self) -> None:
-        """Drops the older halves of what is remembered; the newer ones and the vocabulary stay for the next task."""
+        """Drops the older half of what is remembered; the newer one and the vocabulary stay for the next task."""
         self.older.clear()
-        self.older_prefixes.clear()
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece that isn't in the cache."""
-        packed = self.older.get(piece)
-        data = piece.encode()
-        if packed is None:
-            whole = self.vocab.ranks.get(data)
-            if whole is not None:
-                ids = [whole]
+
+    def _packed(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece. Those not remembered are encoded together, each once."""
+        if self.held >= PIECE_MEMORY // 2:
+            self.older, self.cache, self.held = self.cache, {}, 0
+        cache, older, ranks = self.cache, self.older, self.vocab.ranks
+        large: dict[str, bytes] = {}
+        names: list[str] = []
+        waiting: list[bytes] = []
+        held = 0
+
+        def put(piece: str, size: int, packed: bytes) -> None:
+            cache[piece] = packed
+            self.held += ENTRY + size + len(packed)
+
+        def flush() -> None:
+            for piece, data, packed in zip(names, waiting, self.arrays.encode(waiting), strict=True):
+                put(piece, len(data), packed)
+            names.clear()
+            waiting.clear()
+
+        for piece in {p for p in pieces if p not in cache}:
+            data = piece.encode()
+            if (packed := older.get(piece)) is not None:
+                put(piece, len(data), packed)
+            elif len(data) > PIECE_CACHE_BYTES:
+                whole = ranks.get(data)
+                large[piece] = np.array(PrefixEncoding(self.vocab, data).ids() if whole is None else [whole], "<u4").tobytes()
+            elif (whole := ranks.get(data)) is not None:
+                put(piece, len(data), whole.to_bytes(4, "little"))
             else:
-                ids = self.known_prefixes(data) if len(data) <= PIECE_CACHE_BYTES else PrefixEncoding(self.vocab, data).ids()
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(data) <= PIECE_CACHE_BYTES:
-            if self.held >= PIECE_MEMORY // 2:
-                self.older, self.cache, self.held = self.cache, {}, 0
-            self.cache[piece] = packed
-            self.held += ENTRY + len(data) + len(packed)
-        return packed
-
-    def known_prefixes(self, data: bytes) -> list[int]:
-        """The same recurrence; prefixes that earlier pieces had are looked up."""
-        if len(self.prefixes) * ENTRY >= PREFIX_MEMORY // 2:
-            self.older_prefixes, self.prefixes = self.prefixes, {}
-        prefixes, older, find, token = self.prefixes, self.older_prefixes, self.vocab.last_token, self.vocab.token
-        last = [-1]
-        for i in range(1, len(data) + 1):
-            prefix = data[:i]
-            t = prefixes.get(prefix)
-            if t is None:
-                t = older.get(prefix)
-                prefixes[prefix] = t = find(data, i, last) if t is None else t
-            last.append(t)
-        out, i = [], len(data)
-        while i:
-            if last[i] < 0:
-                raise ValueError("the vocabulary lacks a byte of this text")
-            out.append(last[i])
-            i -= len(token[last[i]])
-        return out[::-1]
+                names.append(piece)
+                waiting.append(data)
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    flush()
+                    held = 0
+        flush()
+        return [cache.get(p) or large[p] for p in pieces]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        pieces: list[str] = []
+        ends = [0]
+        for t in texts:
+            pieces += self.split(t)
+            ends.append(len(pieces))
+        packed: list[bytes] = []
+        for i in range(0, len(pieces), RUN_PIECES):
+            packed += self._packed(pieces[i : i + RUN_PIECES])
+        return [b"".join(packed[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        piece = self.piece
-        return b"".join([self.cache.get(p) or piece(p) for p in self.split(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4").astype(np.int64)
@@ -277,7 +400,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", kee
 
         def fn(part):
             texts = part.column(part.schema.get_field_index(text)).to_pylist()
-            return {"ids": pa.array([tok.encode(t or "") for t in texts], pa.binary())}
+            return {"ids": pa.array(tok.encode_all([t or "" for t in texts]), pa.binary())}
 
         return fn
 
@@ -293,8 +416,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, text: str = "text
 
         def fn(part):
             n, a, b = [], [], []
-            for t in part.column(part.schema.get_field_index(text)).to_pylist():
-                ids = tok.encode(t or "")
+            for ids in tok.encode_all([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(tok.decode(ids)).hexdigest())
