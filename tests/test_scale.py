@@ -85,3 +85,14 @@ def test_language_models_keep_all_grams(spark, monkeypatch):
     assert sum(len(levels[k][4].codes) for k in levels) == counted.count() > 30
     whole = {k: langid.all_levels(*zip(*[(r["gram"], r["n"]) for r in counted.where(f"lang = '{k}'").collect()], strict=True)) for k in levels}
     assert all(len(levels[k][n].codes) == len(whole[k][n].codes) for k in levels for n in range(1, 5))
+
+
+def test_the_log_is_normalised_once_for_its_vocabulary(spark, monkeypatch):
+    from shellgauge.queries import model_queries as M
+
+    seen, vocabulary_of = [], M.X.vocabulary_of
+    monkeypatch.setattr(M.X, "vocabulary_of", lambda rows, *more: seen.append(rows) or vocabulary_of(rows, *more))
+    out = M.e04_e05_folded_pruned(spark, "/root/testdata/sf0.001")
+    # what both passes of the counting read, and both sides of the folding, are files
+    assert len(seen) == 1 and "regexp_replace" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() > 100
