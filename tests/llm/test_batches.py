@@ -1,4 +1,4 @@
-"""Pieces that are encoded together."""
+"""Pieces that are encoded together, and trees that learn from all spans."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from shellgauge.llm import bpe
+from shellgauge.llm import bpe, pii
 
 
 def vocabulary(r: random.Random) -> dict[bytes, int]:
@@ -59,3 +59,33 @@ def test_new_pieces_are_encoded_together(monkeypatch):
         assert tok.encode_all(texts) == want and [tok.decode(x).decode() for x in want] == texts
         if run > 7:
             assert len(calls) == 1 and calls[0] > 1000
+
+
+def test_trees_learn_from_every_span(spark, monkeypatch):
+    texts = [" ".join(f"a{i}b{j}@c{j % 7}.org tel 1.{i}.{j}.9 +1 555 {1000000 + i * j} on 20{10 + j % 9}-11-0{1 + i % 9} 12{i:02d}.{j:03d}.9{j:02d}.001" for j in range(1, 91)) for i in range(40)]
+    texts += [None, "", "no data", "x" * 300 + "@" + "y" * 1200 + ".org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {}
+    for t in texts:
+        base = pii.base_spans(t or "")
+        for (a, k, b), y in [(s, 1) for s in base] + [(s, 0) for s in pii._apart(pii.proposals(t or ""), base)]:
+            span, left, right = pii._context(t, a, b)
+            for s, lf, label, again in [(span, left, y, False)] + [(s, lf, z, True) for s, lf, z in (pii.rewritten(k, span, left, right) if y else ())]:
+                one = (label, again, *map(int, pii.features(k, s, lf, right)))
+                want[one] = want.get(one, 0) + 1
+    got = {}
+    rows = pii.counted(docs).toArrow()
+    for label, again, x, n in zip(*(rows[c].to_pylist() for c in ("label", "rewritten")), pii._unpacked(rows["x"]).tolist(), rows["n"].to_pylist(), strict=True):
+        got[label, again, *x] = got.get((label, again, *x), 0) + n
+    assert got == want and sum(want.values()) > 20_000
+    x = np.array([k[2:] for k, n in want.items() for _ in range(n)])
+    edges = pii.edges_of(pii.value_counts(pii.counted(docs)), pii.BINS)
+    for f, e in enumerate(edges):
+        assert np.array_equal(e, np.unique(np.quantile(x[:, f], np.linspace(0, 1, pii.BINS + 1)[1:-1], method="lower")))
+    cells = pii.cells(pii.counted(docs), edges).agg({"n": "sum", "halves": "sum"}).first()
+    assert (cells["sum(n)"], cells["sum(halves)"]) == (sum(want.values()), sum(n if k[1] else 2 * n for k, n in want.items()))
+    text = "mail a.b@c.example.com, john (at) doe.org"
+    spans = pii.learn(docs).find(text)[0]
+    monkeypatch.setattr(pii, "CELLS", 60)
+    few = pii.learn(docs)
+    assert few.find(text)[0] == spans and few.trees is not None and max(map(len, few.trees.edges)) < pii.BINS // 2
