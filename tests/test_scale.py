@@ -96,3 +96,53 @@ def test_the_log_is_normalised_once_for_its_vocabulary(spark, monkeypatch):
     # what both passes of the counting read, and both sides of the folding, are files
     assert len(seen) == 1 and "regexp_replace" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() > 100
+
+
+def test_equal_columns_are_fitted_as_one(spark, monkeypatch):
+    import numpy as np
+
+    from shellgauge.functions import features as X
+    from shellgauge.operators import scoring as S
+    from shellgauge.operators import training as Tr
+
+    some = [(f"{c} u{i}" if i else c, k % 3) for k, c in enumerate(["rm -rf /srv", "ls -l", "dd if=/dev/zero", "git status", "sudo rm -r x", "cat a.txt", ""]) for i in range(9)]
+    rows = X.dense(N.normalize_commands(spark.createDataFrame(some, "command string, label int"))).withColumn("weight", Tr.ambiguity_weight(F.col("label"))).withColumn("validation", F.expr("pmod(xxhash64(command), 5) = 0")).withColumn("id", F.md5("command"))
+    train = rows.where("not validation")
+    vocab, spread = X.vocabulary_of(train, train.count()).cache(), X.standardiser(train).cache()
+    idf = S.packed(vocab.select("gram", F.col("idf").alias("coef")))
+    matrix, names = Tr.packed_rows(rows, idf, spread)
+    sizes, evaluate = set(), Tr.evaluate
+    monkeypatch.setattr(Tr, "evaluate", lambda held, w, *more: sizes.add(len(w)) or evaluate(held, w, *more))
+    alphas = (0.01, 0.3)
+    coef, grid, alpha = Tr.fit_rows(matrix.cache(), idf, names, alphas)
+    assert max(sizes) < len(idf.keys)  # n-grams that occur together are one column
+    # the same minimum as by a matrix with a column for each n-gram
+    z = X.standardised(X.dense_long(rows.select("id", *X.DENSE), "id"), spread).select("id", "feature", "z")
+    targets = rows.select("id", F.col("label").cast("double").alias("label"), "weight", "validation")
+    whole, wide_grid, wide_alpha = Tr.fit(X.matrix(X.gram_table(rows, "id"), vocab, z, "id"), targets, alphas)
+    a, b = ({r["alpha"]: r for r in g.collect()} for g in (grid, wide_grid))
+    assert alpha == wide_alpha and all(a[k]["gradient"] <= Tr.TOLERANCE and np.isclose(a[k]["loss"], b[k]["loss"], rtol=1e-8) and np.isclose(a[k]["mae"], b[k]["mae"], atol=1e-4) for k in alphas)
+    one, other = ({r["feature"]: r["coef"] for r in c.collect()} for c in (coef, whole))
+    assert one.keys() == other.keys() and max(abs(one[f] - other[f]) for f in one) < 1e-4
+    # with chunks that tasks add up
+    monkeypatch.setattr(Tr, "DIRECT_BYTES", 0)
+    monkeypatch.setattr(Tr, "CHUNK", 7)
+    assert [(r["alpha"], round(r["loss"], 9)) for r in Tr.fit_rows(matrix, idf, names, alphas)[1].collect()] == [(k, round(a[k]["loss"], 9)) for k in alphas]
+
+
+def test_the_log_is_normalised_once_for_its_fit(spark, monkeypatch):
+    import pytest
+
+    from shellgauge.queries import model_queries as M
+
+    class Seen(Exception):
+        pass
+
+    def seen(rows, *more, **names):
+        raise Seen(rows._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(M.Tr, "stratified", seen)
+    monkeypatch.setattr(M, "_fitted", {})
+    with pytest.raises(Seen) as plan:
+        M.fitted(spark, "/root/testdata/sf0.001")
+    assert "regexp_replace" not in str(plan.value)  # the split's passes read a file
