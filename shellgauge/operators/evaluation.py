@@ -61,7 +61,9 @@ def sweep(scores: DataFrame, warn: float, top: int = 8) -> DataFrame:
     return missed.select((F.col("step") / 20).alias("block"), "missed", (MISS_COST * F.col("missed") + F.col("fp")).alias("cost")).orderBy("cost", "block").limit(top)
 
 
-def recall_by(scores: DataFrame, group: str, truth: int, threshold, weak: float = 0.5) -> DataFrame:
-    """Share of each group's rows of a class that reach a threshold; weak groups are flagged."""
-    own = scores.where(F.col("truth") == truth).groupBy(group).agg(F.count("*").alias("n"), F.avg((F.col("risk") >= threshold).cast("double")).alias("recall"))
+def recall_by(scores: DataFrame, group: str, truth: int, threshold, weak: float = 0.5, times: str | None = None) -> DataFrame:
+    """Share of each group's rows of a class that reach a threshold; weak groups are flagged. A row stands for as many as ``times`` says."""
+    n, reached = F.col(times) if times else F.lit(1).cast("long"), F.col("risk") >= threshold
+    share = F.sum(reached.cast("long") * n) / F.sum(F.when(reached.isNotNull(), n))
+    own = scores.where(F.col("truth") == truth).groupBy(group).agg(F.sum(n).alias("n"), share.alias("recall"))
     return own.withColumn("weak", F.col("recall") < weak)

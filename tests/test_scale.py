@@ -146,3 +146,29 @@ def test_the_log_is_normalised_once_for_its_fit(spark, monkeypatch):
     with pytest.raises(Seen) as plan:
         M.fitted(spark, "/root/testdata/sf0.001")
     assert "regexp_replace" not in str(plan.value)  # the split's passes read a file
+
+
+def test_each_command_is_scored_once(spark, monkeypatch):
+    from shellgauge.functions import features as X
+    from shellgauge.operators import evaluation as E
+    from shellgauge.queries import corpus_queries as C
+    from shellgauge.queries import model_queries as M
+
+    sf, path = "/root/testdata/sf0.001", tables.shared_path(spark, "toy")
+    made = X.dense(N.normalize_commands(C.log(spark, sf)))
+    coef, named = M.model(made)
+    tables.write_model(path, coef, named, spark.createDataFrame([(-0.2, 0.9, 1.05, 0.1)], "bias double, warn double, block double, alpha double"))
+    monkeypatch.setattr(M, "fitted", lambda *_: path)
+    every = C.log(spark, sf).select("event_id", "event_type", "command", F.col("risk").alias("label")).cache()
+    families = T.variants(every, T.HOLDOUT).select("event_id", "event_type", "family", F.col("label").alias("truth"), F.col("variant").alias("command")).cache()
+    want = M.fitted_scores(spark, sf, every, "event_id").groupBy("event_type", "label", "verdict").agg(F.count("*").alias("n"), F.round(F.min("risk"), 3).alias("low"), F.round(F.max("risk"), 3).alias("high"))
+    scored = M.fitted_scores(spark, sf, families, "event_id").where("truth > 0")
+    recall = {(r["family"], r["truth"]): (r["n"], round(r["r"], 4)) for r in scored.groupBy("family", "truth").agg(F.count("*").alias("n"), F.avg((F.col("risk") >= 0.9).cast("double")).alias("r")).collect()}
+    given, fitted_scores = [], M.fitted_scores
+    monkeypatch.setattr(M, "fitted_scores", lambda spark, sf, rows, key: given.append((rows, key)) or fitted_scores(spark, sf, rows, key))
+    assert sorted(map(str, M.e08_fitted_scores(spark, sf).collect())) == sorted(map(str, want.collect()))
+    assert {(r["family"], r["truth"]): (r["n"], r["recall"]) for r in M.e18_fitted_holdout(spark, sf).collect()} == recall
+    for (rows, key), once in zip(given, (every.select("event_type", "command", "label"), families.select("family", "truth", "command")), strict=True):
+        assert rows.count() == rows.select(key).distinct().count() < once.count()
+    rows = spark.createDataFrame([("a", 2, 1.0, 3), ("a", 2, 0.1, 1), ("b", 2, 0.1, 2), ("b", 1, 5.0, 9)], "g string, truth int, risk double, k long")
+    assert {(r["g"], r["n"], r["recall"], r["weak"]) for r in E.recall_by(rows, "g", 2, 0.9, times="k").collect()} == {("a", 4, 0.75, False), ("b", 2, 0.0, True)}
