@@ -63,7 +63,9 @@ def sweep(scores: DataFrame, warn: float, top: int = 8) -> DataFrame:
 
 def recall_by(scores: DataFrame, group: str, truth: int, threshold, weak: float = 0.5, times: str | None = None) -> DataFrame:
     """Share of each group's rows of a class that reach a threshold; weak groups are flagged. A row stands for as many as ``times`` says."""
-    n, reached = F.col(times) if times else F.lit(1).cast("long"), F.col("risk") >= threshold
-    share = F.sum(reached.cast("long") * n) / F.sum(F.when(reached.isNotNull(), n))
-    own = scores.where(F.col("truth") == truth).groupBy(group).agg(F.sum(n).alias("n"), share.alias("recall"))
+    reached = F.col("risk") >= threshold
+    n, share = F.count("*"), F.avg(reached.cast("double"))
+    if times:
+        n, share = F.sum(times), F.sum(reached.cast("long") * F.col(times)) / F.sum(F.when(reached.isNotNull(), F.col(times)))
+    own = scores.where(F.col("truth") == truth).groupBy(group).agg(n.alias("n"), share.alias("recall"))
     return own.withColumn("weak", F.col("recall") < weak)
